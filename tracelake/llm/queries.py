@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelake.llm.common import table
+from tracelake.llm.simhash_dedup import simhash_dedup
 from tracelake.llm.substring_dedup import substring_dedup
 
 
@@ -15,5 +16,12 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_substring_dedup": op1_substring_dedup}
+def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
+QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
+    "op5_simhash_dedup": op5_simhash_dedup,
+}
 ORACLE_SQL: dict[str, str] = {}
