@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tracelake.llm.bpe import encode_decode
 from tracelake.llm.common import table
+from tracelake.llm.pii import KINDS, pii
 from tracelake.llm.simhash_dedup import simhash_dedup
 from tracelake.llm.substring_dedup import substring_dedup
 from tracelake.llm.token_count import token_counts
@@ -40,10 +41,20 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii(table(spark, sf_dir, "documents"))
+    of = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    line = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    return found.withColumn("base", F.filter("spans", lambda s: s["base"])).select(
+        "doc_id", *map(of, KINDS), F.sha2(line("base"), 256).alias("base_sha256"), line("spans").alias("spans")
+    )
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op5_simhash_dedup": op5_simhash_dedup,
     "op7_bpe": op7_bpe,
     "op8_token_counts": op8_token_counts,
+    "op9_pii": op9_pii,
 }
 ORACLE_SQL: dict[str, str] = {}
