@@ -12,6 +12,7 @@ from tracelake.llm.pii import KINDS, pii
 from tracelake.llm.simhash_dedup import simhash_dedup
 from tracelake.llm.substring_dedup import substring_dedup
 from tracelake.llm.token_count import token_counts
+from tracelake.llm.toxicity import CUT, held_out, toxicity
 
 TOKEN_LIMIT = 1024
 
@@ -26,6 +27,11 @@ def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return coded.select(
@@ -53,6 +59,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op5_simhash_dedup": op5_simhash_dedup,
+    "op6_toxicity": op6_toxicity,
     "op7_bpe": op7_bpe,
     "op8_token_counts": op8_token_counts,
     "op9_pii": op9_pii,
