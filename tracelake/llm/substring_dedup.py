@@ -105,9 +105,19 @@ def _seeds(window: int, k: int):
                 seed = chosen[ends]
                 # The seed's place in the span is part of the span's identity.
                 span = roll.of(lo, hi + window) + (seed - lo).astype(np.uint64)
-                out.append((np.full(len(ends), k1), np.full(len(ends), k2), grams[seed].view(np.int64), span.view(np.int64), lo, hi))
+                keys = grams[seed]
+                copies = np.ones(len(ends), np.int64)
+                _, first, times = np.unique(_mix(keys) ^ span, return_index=True, return_counts=True)
+                if len(first) < len(ends):
+                    # Repeated within the document: the first place stands for
+                    # all of them, the others are settled and meet nothing.
+                    copies[:] = 0
+                    copies[first] = times
+                    settled = copies == 0
+                    keys[settled] = _mix(span[settled] + lo[settled].astype(np.uint64) + np.uint64(k2 & (2**64 - 1)))
+                out.append((np.full(len(ends), k1), np.full(len(ends), k2), keys.view(np.int64), span.view(np.int64), lo, hi, copies))
             if out:
-                yield pd.DataFrame(dict(zip(("k1", "k2", "seed", "span", "lo", "hi"), map(np.concatenate, zip(*out)))))
+                yield pd.DataFrame(dict(zip(("k1", "k2", "seed", "span", "lo", "hi", "copies"), map(np.concatenate, zip(*out)))))
 
     return run
 
@@ -154,20 +164,28 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, seed_words: int = SEE
     """One row per row of ``docs`` (doc_id, text): n_words, n_removed, kept_text
     and ``repeats``, the [start, end) word ranges of its maximal repeats."""
     bounded_batches(docs.sparkSession)
+    # (k1, k2) is a row's key: the id, and a hash of the text whose last bit
+    # tells a null id.  Both joins with the texts read the same three columns,
+    # so the texts are exchanged once.
+    text = F.coalesce("text", F.lit(""))
+    doc_id = F.col("doc_id").cast("long")
     docs = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.coalesce("text", F.lit("")).alias("text"),
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("k1"),
-        F.xxhash64(F.coalesce("text", F.lit(""))).alias("k2"),
+        text.alias("text"),
+        F.coalesce(doc_id, F.lit(0)).alias("k1"),
+        F.shiftleft(F.shiftrightunsigned(F.xxhash64(text), 1), 1).bitwiseOR(doc_id.isNull().cast("long")).alias("k2"),
     )
-    seeds = docs.select("text", "k1", "k2").mapInPandas(
-        _seeds(window, seed_words), "k1 long, k2 long, seed long, span long, lo int, hi int"
+    seeds = docs.mapInPandas(
+        _seeds(window, seed_words), "k1 long, k2 long, seed long, span long, lo int, hi int, copies long"
     )
-    again = seeds.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("seed")
-    met = materialize(seeds.join(again, "seed", "left_semi"))
+    again = materialize(
+        seeds.where("copies > 0").groupBy("seed").agg(F.sum("copies").alias("n")).where("n > 1").select("seed", F.lit(True).alias("met"))
+    )
+    met = materialize(seeds.join(again, "seed", "left").where("met or copies = 0").drop("met"))
+    settled = met.where("copies = 0").select("k1", "k2", "lo", "hi")
+    met = met.where("copies > 0")
 
     spans = met.groupBy("seed", "span").agg(
-        F.count(F.lit(1)).alias("copies"),
+        F.sum("copies").alias("copies"),
         *(F.first(c).alias(c) for c in ("k1", "k2", "lo", "hi")),
     )
     whole = met.join(spans.where("copies > 1").select("seed", "span"), ["seed", "span"], "left_semi").select("k1", "k2", "lo", "hi")
@@ -178,15 +196,20 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, seed_words: int = SEE
         .groupBy("k1", "k2")
         .agg(F.collect_list(F.struct("seed", "lo", "hi", F.least("copies", F.lit(2)).alias("copies"))).alias("spans"))
     )
-    windows = docs.select("text", "k1", "k2").join(stand_ins, ["k1", "k2"]).mapInPandas(
+    windows = docs.join(stand_ins, ["k1", "k2"]).mapInPandas(
         _windows(window), "k1 long, k2 long, seed long, win long, lo int, copies long"
     )
     shared = windows.groupBy("seed", "win").agg(F.sum("copies").alias("n")).where("n > 1").select("seed", "win")
     partly = windows.join(shared, ["seed", "win"], "left_semi").select("k1", "k2", "lo", F.col("lo").alias("hi"))
 
-    repeated = whole.unionByName(partly).groupBy("k1", "k2").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+    repeated = (
+        settled.unionByName(whole).unionByName(partly)
+        .groupBy("k1", "k2").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+    )
     return map_arrow(
-        docs.join(repeated, ["k1", "k2"], "left").select("doc_id", "text", "spans"),
+        docs.join(repeated, ["k1", "k2"], "left").select(
+            F.when(F.col("k2").bitwiseAND(F.lit(1)) == 0, F.col("k1")).alias("doc_id"), "text", "spans"
+        ),
         _cut(window),
         "doc_id long, n_words long, n_removed long, kept_text string, repeats array<array<int>>",
     )
