@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tracelake.llm.bpe import encode_decode
 from tracelake.llm.common import table
+from tracelake.llm.html_extract import html_extract
 from tracelake.llm.pii import KINDS, pii
 from tracelake.llm.simhash_dedup import simhash_dedup
 from tracelake.llm.substring_dedup import substring_dedup
@@ -23,6 +24,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
@@ -58,6 +63,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op4_html_extract": op4_html_extract,
     "op5_simhash_dedup": op5_simhash_dedup,
     "op6_toxicity": op6_toxicity,
     "op7_bpe": op7_bpe,
