@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracelake.llm.ann import ann
 from tracelake.llm.bpe import encode_decode
 from tracelake.llm.common import table
 from tracelake.llm.html_extract import html_extract
@@ -61,6 +62,10 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op4_html_extract": op4_html_extract,
@@ -69,5 +74,6 @@ QUERIES = {
     "op7_bpe": op7_bpe,
     "op8_token_counts": op8_token_counts,
     "op9_pii": op9_pii,
+    "op10_ann": op10_ann,
 }
 ORACLE_SQL: dict[str, str] = {}
