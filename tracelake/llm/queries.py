@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tracelake.llm.ann import ann
 from tracelake.llm.bpe import encode_decode
 from tracelake.llm.common import table
+from tracelake.llm.embedding_dedup import embedding_dedup
 from tracelake.llm.html_extract import html_extract
 from tracelake.llm.pii import KINDS, pii
 from tracelake.llm.simhash_dedup import simhash_dedup
@@ -25,6 +26,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup(table(spark, sf_dir, "embeddings"))
+
+
 def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
 
@@ -68,6 +73,7 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op3_embedding_dedup": op3_embedding_dedup,
     "op4_html_extract": op4_html_extract,
     "op5_simhash_dedup": op5_simhash_dedup,
     "op6_toxicity": op6_toxicity,
