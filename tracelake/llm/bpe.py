@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import bounded_batches, map_arrow
+from tracelake.llm.common import append_arrow, bounded_batches, map_arrow
 from tracelake.llm.vocab import SPACES, vocabulary
 
 _SPACE = f"[{SPACES}]+"
@@ -79,6 +79,12 @@ class _Task:
         return run
 
 
+def with_tokens(docs: DataFrame, path: str) -> DataFrame:
+    """``docs`` with all its columns, and ids and decoded beside them."""
+    bounded_batches(docs.sparkSession)
+    return append_arrow(docs, ["doc_id", "text"], _Task(path), "ids array<int>, decoded string")
+
+
 def encode_decode(docs: DataFrame, path: str) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): ids array<int>, decoded."""
     bounded_batches(docs.sparkSession)

@@ -14,17 +14,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` with a reliable checkpoint.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder for checkpoints and stage results.
 
-    The shared folder comes from ``spark.checkpoint.dir``; only where that is
-    unset (tests, one machine) a folder of our own is used.
+    It comes from ``spark.checkpoint.dir``; only where that is unset (tests, one
+    machine) a folder of our own is used.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tracelake-checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut the lineage of ``df`` with a reliable checkpoint."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -55,6 +60,30 @@ def map_arrow(df: DataFrame, function: Callable[..., dict], schema: str) -> Data
     return df.mapInArrow(run, schema)
 
 
+def append_arrow(df: DataFrame, inputs: list[str], function: Callable[..., dict], schema: str) -> DataFrame:
+    """All columns of ``df``, unchanged, and those of ``schema`` that
+    ``function(*inputs)`` gives; columns of the same names are replaced."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    added = StructType.fromDDL(schema)
+    fields = to_arrow_schema(added)
+    df = df.drop(*(f.name for f in added))
+    # Columns the function needs go to the end under names of their own.
+    own = [f"__input_{i}" for i in range(len(inputs))]
+    sent = df.select("*", *(F.col(c).alias(o) for c, o in zip(inputs, own)))
+    n = len(df.columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = function.start() if hasattr(function, "start") else function
+        for batch in batches:
+            out = f(*batch.columns[n:])
+            arrays = [c if isinstance(c := out[x.name], pa.Array) else pa.array(c, x.type) for x in fields]
+            yield pa.RecordBatch.from_arrays(batch.columns[:n] + arrays, schema=pa.schema([*list(batch.schema)[:n], *fields]))
+
+    return sent.mapInArrow(run, StructType([*df.schema.fields, *added.fields]))
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """Components of an undirected graph given as bigint columns ``a`` and ``b``.
 

@@ -31,10 +31,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.llm.boosting import Boosted, fit, threshold_at
-from tracelake.llm.common import bounded_batches, map_arrow
+from tracelake.llm.common import append_arrow, bounded_batches, map_arrow
 
 KINDS = ("email", "ip", "card", "phone")
 PRECISION = 0.995
+_SPANS = "spans array<struct<kind: string, start: int, end: int, base: boolean>>"
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -266,9 +267,15 @@ class _Task:
         return out
 
 
+def with_redacted(docs: DataFrame) -> DataFrame:
+    """``docs`` with all its columns, and spans and redacted beside them."""
+    bounded_batches(docs.sparkSession)
+    return append_arrow(docs, ["doc_id", "text"], _Task(True), f"{_SPANS}, redacted string")
+
+
 def pii(docs: DataFrame, redacted: bool = False) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): its spans, and the text with
     them replaced if ``redacted``."""
     bounded_batches(docs.sparkSession)
-    schema = "doc_id long, spans array<struct<kind: string, start: int, end: int, base: boolean>>" + ", redacted string" * redacted
+    schema = f"doc_id long, {_SPANS}" + ", redacted string" * redacted
     return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), _Task(redacted), schema)

@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracelake.llm import mixing
 from tracelake.llm.ann import ann
 from tracelake.llm.bpe import encode_decode
 from tracelake.llm.common import table
@@ -26,6 +27,12 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")).select(
+        "doc_id", "mix_topic", "mix_tokens", F.round("mix_weight", 6).alias("mix_weight"), F.round("mix_probability", 6).alias("mix_probability"), "mix_selected"
+    )
+
+
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup(table(spark, sf_dir, "embeddings"))
 
@@ -73,6 +80,7 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_mixing": op2_mixing,
     "op3_embedding_dedup": op3_embedding_dedup,
     "op4_html_extract": op4_html_extract,
     "op5_simhash_dedup": op5_simhash_dedup,
@@ -82,4 +90,4 @@ QUERIES = {
     "op9_pii": op9_pii,
     "op10_ann": op10_ann,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_mixing": mixing.oracle_sql()}

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import bounded_batches, connected_components, map_arrow, materialize
+from tracelake.llm.common import append_arrow, bounded_batches, connected_components, map_arrow, materialize
 
 SHINGLE = 3
 MAX_BITS = 2
@@ -128,15 +128,38 @@ def links(prints: DataFrame, long_posting: int = LONG_POSTING) -> DataFrame:
     return pairs.unionByName(stars)
 
 
+def _classes(marked: DataFrame, best: Column, long_posting: int) -> DataFrame:
+    """fp, root, best: the least ``best`` of the rows of all linked fingerprints."""
+    prints = marked.groupBy("fp").agg(F.min(best).alias("own"))
+    found = connected_components(links(prints.select("fp"), long_posting))
+    rooted = prints.join(found.withColumnRenamed("v", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    least = rooted.groupBy("root").agg(F.min("own").alias("best"))
+    return rooted.join(least, "root").select("fp", "root", "best")
+
+
 def simhash_dedup(docs: DataFrame, shingle: int = SHINGLE, long_posting: int = LONG_POSTING) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): fp bigint, fingerprint (hex),
     component_id, the least doc_id that links reach."""
     marked = materialize(fingerprints(docs, shingle))
-    prints = marked.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
-    found = connected_components(links(prints.select("fp"), long_posting))
-    rooted = prints.join(found.withColumnRenamed("v", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
+    named = _classes(marked, F.col("doc_id"), long_posting).select("fp", F.col("best").alias("component_id"))
     return marked.join(named, "fp").select(
         "doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, long_posting: int = LONG_POSTING) -> DataFrame:
+    """One row of each component of ``docs``, with all its columns: that of the
+    least doc_id, then of the least text hash; null ids come last."""
+    bounded_batches(docs.sparkSession)
+
+    def run(text: pa.Array) -> dict:
+        values = np.array([fingerprint(t or "", shingle) for t in text.to_pylist()], np.uint64)
+        return {"fp": pa.array(values.view(np.int64))}
+
+    doc_id = F.col("doc_id").cast("long")
+    key = [doc_id.isNull().alias("k0"), F.coalesce(doc_id, F.lit(0)).alias("k1"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("k2")]
+    marked = materialize(append_arrow(docs.select(*key, "text"), ["text"], run, "fp long").drop("text"))
+    kept = _classes(marked, F.struct("k0", "k1", "k2"), long_posting).select("best.*").distinct()
+    names = [f"__{n}" for n in ("k0", "k1", "k2")]
+    kept = kept.toDF(*names)
+    return docs.withColumns(dict(zip(names, key))).join(kept, names, "left_semi").dropDuplicates(names).drop(*names)

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import bounded_batches, map_arrow
+from tracelake.llm.common import append_arrow, bounded_batches, map_arrow
 
 MAX_ROWS = 6000
 CUT = 0.3
@@ -268,6 +268,12 @@ class _Task:
         return run
 
 
+def with_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
+    """``docs`` with all its columns, and score and toxic beside them."""
+    bounded_batches(docs.sparkSession)
+    return append_arrow(docs, ["doc_id", "text", "lang"], _Task(fit_labels(docs, labels, max_rows)), "score double, toxic boolean")
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text, lang): score, toxic (by the
     language's threshold)."""
