@@ -57,7 +57,7 @@ def dof_categories(annotations: DataFrame, mode: str, deka: Sequence[str] = DEKA
 def direction_counts(entries: DataFrame, kind: str, n_gestures: str, trials: str) -> DataFrame:
     """Counts and trial sums of each kind, in one and in two directions."""
     one = F.col(n_gestures) < 2
-    return entries.groupBy(kind).agg(
+    return entries.where(F.col(kind).isNotNull()).groupBy(kind).agg(
         F.count_if(one).alias("uni"), F.count_if(~one).alias("bi"),
         F.coalesce(F.sum(F.when(one, F.col(trials))), F.lit(0)).alias("uni_trials"), F.coalesce(F.sum(F.when(~one, F.col(trials))), F.lit(0)).alias("bi_trials"),
     )

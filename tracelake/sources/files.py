@@ -69,10 +69,14 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 def annotations(spark: SparkSession, jobs: Mapping[Any, Mapping[str, Any]]) -> DataFrame:
     """job_id, kinematic, type, n_gestures, min_trials from nested annotations."""
-    rows = [
-        (int(job), name, info.get("type"), len(info.get("gestures") or {}), min((info.get("gestures") or {0: 0}).values()))
-        for job, data in jobs.items() for name, info in (data.get("kinematics") or {}).items()
-    ]
+    rows: list[tuple] = []
+    for job, data in jobs.items():
+        found = data.get("kinematics") or {}
+        # A job without movements keeps its place.
+        rows += [(int(job), None, None, 0, 0)] if not found else []
+        for name, info in found.items():
+            gestures = info.get("gestures") or {}
+            rows.append((int(job), name, info.get("type"), len(gestures), min(gestures.values(), default=0)))
     return spark.createDataFrame(rows, "job_id int, kinematic string, type string, n_gestures int, min_trials int")
 
 
