@@ -33,9 +33,10 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def bounded_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Python workers get few rows at a time, for rows may hold very long texts."""
+def bounded_batches(spark: SparkSession, rows: int = 256, size: int = 16 << 20) -> None:
+    """Python workers get few rows and bytes at a time, for texts may be very long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
 def map_arrow(df: DataFrame, function: Callable[..., dict], schema: str) -> DataFrame:
