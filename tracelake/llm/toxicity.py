@@ -112,12 +112,15 @@ class _Reader:
 def train(texts: list[str], labels: np.ndarray, epochs: int = 4, rate: float = 0.02, seed: int = 7) -> Classifier:
     rng = np.random.default_rng(seed)
     y = labels.astype(np.float32)
-    lists = [[_buckets(w) for w in _find(t.lower())] for t in texts]
-    rows = [np.array(ws, np.int32).reshape(-1, 1 + len(_STARTS)) for ws in lists]
+    # Each text as numbers of words, and the buckets of each distinct word once.
+    place: dict[str, int] = {}
+    spots = [np.fromiter((place.setdefault(w, len(place)) for w in _find(t.lower())), np.int32) for t in texts]
+    buckets = np.fromiter((b for w in place for b in _buckets(w)), np.int32).reshape(-1, 1 + len(_STARTS))
+    del place
     rest = float(y.mean())
     seen, toxic = np.zeros(_BUCKETS + 1), np.zeros(_BUCKETS + 1)
-    for r, label in zip(rows, y):
-        own = np.unique(r)
+    for r, label in zip(spots, y):
+        own = np.unique(buckets[r])
         seen[own] += 1
         toxic[own] += label
     p = (toxic + 10 * rest) / (seen + 10)
@@ -136,11 +139,12 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 4, rate: float = 0
     square = np.zeros(_BUCKETS + 1, np.float32)
 
     for epoch in range(epochs):
-        for i, at in enumerate(rng.permutation(len(rows))):
+        for i, at in enumerate(rng.permutation(len(spots))):
             if i % 16 == 0:
                 grads = [np.zeros_like(d) for d in dense]
                 sparse: list[tuple[np.ndarray, np.ndarray]] = []
-            x = np.concatenate([table[rows[at]].sum(axis=1), np.zeros((3, _DIM), np.float32)])
+            rows = buckets[spots[at]]
+            x = np.concatenate([table[rows].sum(axis=1), np.zeros((3, _DIM), np.float32)])
             best, values = [], []
             for width, f in zip(_WIDTHS, filters):
                 r = x @ f[0]
@@ -162,10 +166,10 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 4, rate: float = 0
                 for k in range(width):
                     place = np.minimum(best[j] + k, len(x) - 1)
                     grads[j][k] += x[place].T * b
-                    real = place < len(rows[at])
+                    real = place < len(rows)
                     if real.any():
-                        sparse.append((rows[at][place[real]], (f[k] * b).T[real]))
-            if i % 16 == 15 or i == len(rows) - 1:
+                        sparse.append((rows[place[real]], (f[k] * b).T[real]))
+            if i % 16 == 15 or i == len(spots) - 1:
                 turn += 1
                 for d, g, m, v in zip(dense, grads, first, second):
                     m += 0.1 * (g / 16 - m)
@@ -220,7 +224,8 @@ def fit(texts: list[str], labels: np.ndarray, langs: list[str | None], left_out:
     own = np.flatnonzero(left_out)
     y = labels[own].astype(float)
     if len(set(y)) == 2:
-        z = np.concatenate([model.logits(model.pooled(*_Reader(model.table).lay([texts[i]]))) for i in own])
+        reader = _Reader(model.table)
+        z = np.concatenate([model.logits(model.pooled(*reader.lay([texts[i] for i in own[k : k + 64]]))) for k in range(0, len(own), 64)])
         model.scale = _platt(z.astype(np.float64), y)
         p = score(model, [texts[i] for i in own])
         for lang in {langs[i] for i in own if langs[i] is not None}:
