@@ -11,14 +11,16 @@ size; a label that fits is one block.  In a block
    are enlarged to everything that is reached through saturated lists, which is
    the fixpoint of joining neighbours of neighbours without a cap on the lists;
 4. pairs near the threshold are measured again in double precision and the
-   edges that pass are kept.
+   edges that pass are kept.  A block that holds all of its label returns the
+   number of links and the component of each linked vertex, one row for each,
+   however dense a group is; only the blocks of a split label return edges.
 
 A label that is too large for a block is laid out by several sets of random
 hyperplanes, and a leaf that is still too large is cut into parts of which each
 two share a block.  Then neighbours of neighbours are joined across blocks,
 until no more edges are found.  Recall is audited against brute force over all
-rows for a bounded sample of vectors; the operator repeats the search with
-other trees while the audit finds less than ``least_recall``.
+rows for a bounded sample of vectors; while the audit finds less than
+``least_recall`` the search is repeated with more trees and longer lists.
 
 Defined results: vectors that are null, zero or hold null or non-finite
 components, and vectors with a null label, link with nothing; vectors of
@@ -193,23 +195,46 @@ def threshold_edges(x: np.ndarray, graph: Graph, threshold: float) -> Iterator[t
             yield part[i][use], own[j][use]
 
 
-def _block(threshold: float, k: int, seed: int):
+def _block(threshold: float, k: int, turn: int):
+    """Links of a block.  Where it holds all of its label (``whole``) each linked
+    vertex gives one row: its number of links, copies counted, and the least
+    vertex of its component (a, b, n); else each link gives a row (a, b, null)."""
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, vectors = pdf["vec_id"].to_numpy(), pdf["vector"].tolist()
-        found = []
-        for width in {len(v) for v in vectors}:
+        ids, vectors, copies = pdf["vec_id"].to_numpy(), pdf["vector"].tolist(), pdf["copies"].to_numpy()
+        whole = bool(pdf["whole"].iloc[0])
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for width in sorted({len(v) for v in vectors}):
             own = np.array([i for i, v in enumerate(vectors) if len(v) == width])
+            own = own[np.argsort(ids[own], kind="stable")]
             exact = matrix([vectors[i] for i in own])
             length = np.sqrt((exact * exact).sum(axis=1))
             x = (exact / length[:, None]).astype(np.float32)
-            for a, b in threshold_edges(x, descend(x, k, seed=seed), threshold):
+            links, group = np.zeros(len(own), np.int64), np.arange(len(own))
+            graph = descend(x, k << turn, trees=3 + turn, seed=turn)
+            for a, b in threshold_edges(x, graph, threshold):
                 for lo in range(0, len(a), 1 << 16):
                     i, j = a[lo : lo + (1 << 16)], b[lo : lo + (1 << 16)]
                     cosine = np.einsum("nd,nd->n", exact[i], exact[j]) / (length[i] * length[j])
                     i, j = i[cosine >= threshold], j[cosine >= threshold]
-                    found.append((ids[own[i]], ids[own[j]]))
-        a, b = map(np.concatenate, zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+                    if not len(i):
+                        continue
+                    if not whole:
+                        x_ids, y_ids = ids[own[i]], ids[own[j]]
+                        out.append((np.minimum(x_ids, y_ids), np.maximum(x_ids, y_ids), np.full(len(i), -1)))
+                        continue
+                    np.add.at(links, i, copies[own[j]])
+                    np.add.at(links, j, copies[own[i]])
+                    all_ = np.arange(len(own))
+                    group = _groups(len(own), np.r_[all_, i], np.r_[group, j])
+            linked = np.flatnonzero(links)
+            if whole and len(linked):
+                # Vertices are in the order of their ids, so the least place is the least id.
+                out.append((ids[own[linked]], ids[own[group[linked]]], links[linked]))
+        a, b, n = map(np.concatenate, zip(*out)) if out else (np.zeros(0, np.int64),) * 3
+        n = pd.array(n, dtype="Int64")
+        n[np.asarray(n == -1)] = pd.NA
+        return pd.DataFrame({"a": a, "b": b, "n": n})
 
     return run
 
@@ -228,7 +253,7 @@ def _codes(sets: int, seed: int):
                     signs = planes[len(v), s][:bits] @ v > 0
                     row.append(int(sum(1 << i for i, t in enumerate(signs) if t)))
                 codes.append(row)
-            yield pdf.assign(codes=codes)[["vec_id", "vector", "label", "codes"]]
+            yield pdf.assign(codes=codes)[["vec_id", "vector", "copies", "label", "whole", "codes"]]
 
     return run
 
@@ -238,10 +263,10 @@ def _placed(classes: DataFrame, block_rows: int, seed: int) -> DataFrame:
     sizes = classes.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
     bits = F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / block_rows)) + F.when(F.col("n") > block_rows, 1).otherwise(0)).cast("int")
     coded = (
-        classes.join(sizes.select("label", F.least(bits, F.lit(30)).alias("bits")), "label")
-        .select("vec_id", "vector", "label", "bits")
-        .mapInPandas(_codes(SETS, seed), "vec_id long, vector binary, label string, codes array<long>")
-        .select("vec_id", "vector", "label", F.posexplode("codes").alias("set", "leaf"))
+        classes.join(sizes.select("label", F.least(bits, F.lit(30)).alias("bits"), (F.col("n") <= block_rows).alias("whole")), "label")
+        .select("vec_id", "vector", "copies", "label", "bits", "whole")
+        .mapInPandas(_codes(SETS, seed), "vec_id long, vector binary, copies long, label string, whole boolean, codes array<long>")
+        .select("vec_id", "vector", "copies", "label", "whole", F.posexplode("codes").alias("set", "leaf"))
     )
     leaves = coded.groupBy("label", "set", "leaf").agg(F.count(F.lit(1)).alias("m"))
     # Parts of a leaf that is too large; each two of them make a block.
@@ -252,7 +277,7 @@ def _placed(classes: DataFrame, block_rows: int, seed: int) -> DataFrame:
         coded.join(leaves.select("label", "set", "leaf", parts.alias("parts")), ["label", "set", "leaf"])
         .withColumn("part", part)
         .withColumn("other", other)
-        .select("vec_id", "vector", "label", "set", "leaf", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"))
+        .select("vec_id", "vector", "copies", "whole", "label", "set", "leaf", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"))
     )
 
 
@@ -288,9 +313,10 @@ def _across(edges: DataFrame, classes: DataFrame, threshold: float, k: int) -> D
         edges = materialize(edges.unionByName(more))
 
 
-def audit(classes: DataFrame, edges: DataFrame, threshold: float = THRESHOLD, rows: int = AUDIT_ROWS) -> float:
-    """Share of the true links of at most ``rows`` vectors, those least by a
-    hash of their id, that ``edges`` hold.  All vectors are compared."""
+def audit(classes: DataFrame, linked: DataFrame, threshold: float = THRESHOLD, rows: int = AUDIT_ROWS) -> float:
+    """Share of the true links (copies counted) of at most ``rows`` vectors,
+    those least by a hash of their id, that ``linked`` (a, others) has.  They
+    are compared with all vectors."""
     chosen = classes.orderBy(F.xxhash64("vec_id"), "vec_id").limit(rows).select("vec_id", "vector", "label").toPandas()
     kept = [(int(i), np.frombuffer(v, np.float64), x) for i, v, x in zip(chosen["vec_id"], chosen["vector"], chosen["label"])]
 
@@ -298,16 +324,17 @@ def audit(classes: DataFrame, edges: DataFrame, threshold: float = THRESHOLD, ro
         for pdf in batches:
             out = []
             for i, v, x in kept:
-                own = pdf[(pdf["label"] == x) & (pdf["vector"].map(len) == 8 * len(v))]
+                own = pdf[(pdf["label"] == x) & (pdf["vector"].map(len) == 8 * len(v)) & (pdf["vec_id"] != i)]
                 if len(own):
                     m = matrix(own["vector"])
-                    hit = own["vec_id"].to_numpy()[(m @ v) / (np.sqrt((m * m).sum(axis=1)) * np.sqrt(v @ v)) >= threshold + 1e-12]
-                    out += [(min(i, int(j)), max(i, int(j))) for j in hit if j != i]
-            yield pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+                    hit = (m @ v) / (np.sqrt((m * m).sum(axis=1)) * np.sqrt(v @ v)) >= threshold + 1e-12
+                    if hit.any():
+                        out.append((i, int(own["copies"].to_numpy()[hit].sum())))
+            yield pd.DataFrame(out, columns=["a", "true"]).astype("int64")
 
-    truth = classes.select("vec_id", "vector", "label").mapInPandas(run, "a long, b long").distinct()
-    total, hits = truth.join(edges.withColumn("found", F.lit(1)), ["a", "b"], "left").agg(F.count(F.lit(1)), F.count("found")).first()
-    return hits / total if total else 1.0
+    truth = classes.select("vec_id", "vector", "label", "copies").mapInPandas(run, "a long, true long").groupBy("a").agg(F.sum("true").alias("true"))
+    found = truth.join(linked, "a", "left").agg(F.sum("true"), F.sum(F.least("true", F.coalesce("others", F.lit(0))))).first()
+    return found[1] / found[0] if found[0] else 1.0
 
 
 def embedding_dedup(
@@ -323,21 +350,25 @@ def embedding_dedup(
     classes = materialize(members.groupBy("label", "vector").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("copies")))
     large = classes.groupBy("label").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block_rows)
     split = not large.isEmpty()
-    edges = None
+    weight = classes.select("vec_id", "copies")
+    rows_found = None
     for turn in range(MOST_TURNS):
         blocks = _placed(classes, block_rows, turn).groupBy("label", "set", "leaf", "p", "q")
-        found = blocks.applyInPandas(_block(threshold, k, turn), "a long, b long")
-        edges = materialize((found if edges is None else found.unionByName(edges)).distinct())
+        found = blocks.applyInPandas(_block(threshold, k, turn), "a long, b long, n long")
+        rows_found = materialize((found if rows_found is None else found.unionByName(rows_found)).distinct())
+        # Links of split labels one by one; of whole labels a count by vertex.
+        apart = rows_found.where("n is null").select("a", "b")
         if split:
-            edges = _across(edges, classes, threshold, k)
-        if audit(classes, edges, threshold) >= least_recall:
+            apart = _across(apart, classes, threshold, k)
+        both = apart.unionByName(apart.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        linked = (
+            both.join(weight.withColumnRenamed("vec_id", "b"), "b").groupBy("a").agg(F.sum("copies").alias("others"))
+            .unionByName(rows_found.where("n is not null").groupBy("a").agg(F.max("n").alias("others")))
+        )
+        if audit(classes, linked, threshold) >= least_recall:
             break
+    edges = apart.unionByName(rows_found.where("n is not null").select("a", "b"))
 
-    weight = classes.select("vec_id", "copies")
-    linked = (
-        edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        .join(weight.withColumnRenamed("vec_id", "b"), "b").groupBy("a").agg(F.sum("copies").alias("others"))
-    )
     found = connected_components(edges)
     named = (
         classes.join(linked.withColumnRenamed("a", "vec_id"), "vec_id", "left")
