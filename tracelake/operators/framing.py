@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -42,13 +42,40 @@ def tick_steps(df: DataFrame, by: str, t: Column, order: Sequence[str], cap: int
 
 
 def per_channel(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str, kernel, schema: str) -> DataFrame:
-    """``kernel(keys, rows, samples)`` on each whole channel in order."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(list(order), kind="stable").reset_index(drop=True)
-        return kernel(pdf, pdf[value].to_numpy(float))
-
-    return df.groupBy(*by).applyInPandas(run, schema)
+    """``kernel(rows, samples)`` on each whole channel in order.
+
+    Channels are dealt and sorted by Spark and stream through the workers, which
+    hold one channel at a time; short channels share batches, so that their
+    number costs little."""
+    keys = list(by)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+
+        def finish() -> pd.DataFrame:
+            rows = pd.concat(held, ignore_index=True) if len(held) > 1 else held[0].reset_index(drop=True)
+            return kernel(rows, rows[value].to_numpy(float))
+
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            fresh = (pdf[keys] != pdf[keys].shift()).any(axis=1).to_numpy()
+            fresh[0] = bool(held) and bool((pdf[keys].iloc[0] != held[-1][keys].iloc[-1]).any())
+            cuts = [0, *np.flatnonzero(fresh), len(pdf)]
+            out = []
+            for lo, hi in zip(cuts, cuts[1:]):
+                if (lo or fresh[0]) and held:
+                    out.append(finish())
+                    held = []
+                if hi > lo:
+                    held.append(pdf.iloc[lo:hi])
+            if out:
+                yield pd.concat(out, ignore_index=True)
+        if held:
+            yield finish()
+
+    dealt = df.repartition(*keys).sortWithinPartitions(*keys, *order)
+    return dealt.mapInPandas(run, schema)
 
 
 def detect_spikes(df: DataFrame, by: str, order: str, value: str, threshold: float, refractory: int = kernels.REFRACTORY) -> DataFrame:
