@@ -62,6 +62,34 @@ def test_embedding_dedup(spark, block_rows):
     assert embedding_dedup(vectors(spark, rows).where("false")).count() == 0
 
 
+def clumps(size, seed=0, dims=16):
+    """Two dense groups whose members also link across."""
+    rng = np.random.default_rng(seed)
+    u, w = np.linalg.qr(rng.normal(size=(dims, 2)))[0].T
+    centres = [u, 0.95 * u + np.sqrt(1 - 0.95**2) * w]
+    return np.concatenate([c + 0.003 * rng.normal(size=(size, dims)) for c in centres]).astype(np.float32)
+
+
+def exact_links(x):
+    """n_links and the least place of the component, by brute force."""
+    x = np.asarray(x, float)
+    link = x @ x.T / np.sqrt(np.outer((x * x).sum(axis=1), (x * x).sum(axis=1))) >= 0.93
+    root = np.arange(len(x))
+    while True:
+        low = np.where(link, root, len(x)).min(axis=1)
+        if (low == root).all():
+            return link.sum(axis=1) - 1, root
+        root = low
+
+
+def test_embedding_dedup_links_between_dense_clumps(spark):
+    x = clumps(60)
+    links, root = exact_links(x)
+    assert set(links) == {119} and set(root) == {0}
+    got = embedding_dedup(vectors(spark, [(i, v, 1) for i, v in enumerate(x)])).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == {i: (119, 0) for i in range(120)}
+
+
 def test_descent_finds_the_nearest():
     x = np.random.default_rng(3).normal(size=(1500, 16)).astype(np.float32)
     x /= np.linalg.norm(x, axis=1)[:, None]

@@ -7,9 +7,8 @@ size; a label that fits is one block.  In a block
 1. a first neighbour graph comes from the leaves of a few random trees;
 2. NN-descent refines it: the neighbours (both ways) of every vertex are joined
    with each other, pairs with a new member only, until hardly a list changes;
-3. lists whose last neighbour still passes the threshold are saturated: they
-   are enlarged to everything that is reached through saturated lists, which is
-   the fixpoint of joining neighbours of neighbours without a cap on the lists;
+3. lists whose last neighbour still passes the threshold are saturated: their
+   vertices are measured against the whole block, in tiles;
 4. pairs near the threshold are measured again in double precision and the
    edges that pass are kept.  A block that holds all of its label returns the
    number of links and the component of each linked vertex, one row for each,
@@ -171,28 +170,27 @@ def _groups(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def threshold_edges(x: np.ndarray, graph: Graph, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (a < b) that pass the threshold up to rounding; saturated lists are
-    enlarged first."""
+    """Pairs (a < b) that pass the threshold up to rounding; those of saturated
+    vertices come from the whole block and not from the lists."""
     if graph.k < 1:
         return
-    n, least = len(x), threshold - _NEAR
+    least = threshold - _NEAR
     passing = (graph.sims >= least) & (graph.ids >= 0)
     a, b = np.nonzero(passing)[0], graph.ids[passing]
     saturated = passing[:, -1]
-    group = _groups(n, *((a[saturated[a]], b[saturated[a]]) if saturated.any() else (a[:0], b[:0])))
-    size = np.bincount(group, minlength=n)
-    lone = size[group[a]] * (group[a] == group[b]) <= 1
+    lone = ~saturated[a] & ~saturated[b]
     lo, hi = np.minimum(a[lone], b[lone]), np.maximum(a[lone], b[lone])
     if len(lo):
         pairs = np.unique(np.stack([lo, hi], axis=1), axis=0)
         yield pairs[:, 0], pairs[:, 1]
-    for root in np.flatnonzero(size > 1):
-        own = np.flatnonzero(group == root)
-        for at in range(0, len(own), 1024):
-            part = own[at : at + 1024]
-            i, j = np.nonzero(x[part] @ x[own].T >= least)
-            use = part[i] < own[j]
-            yield part[i][use], own[j][use]
+    full = np.flatnonzero(saturated)
+    for at in range(0, len(full), 1024):
+        part = full[at : at + 1024]
+        i, j = np.nonzero(x[part] @ x.T >= least)
+        i = part[i]
+        # Two saturated vertices meet twice; the lesser one gives the pair.
+        use = (i != j) & ((i < j) | ~saturated[j])
+        yield np.minimum(i[use], j[use]), np.maximum(i[use], j[use])
 
 
 def _block(threshold: float, k: int, turn: int):
