@@ -90,6 +90,18 @@ def test_embedding_dedup_links_between_dense_clumps(spark):
     assert {r.vec_id: (r.n_links, r.component_id) for r in got} == {i: (119, 0) for i in range(120)}
 
 
+def check_exact(spark, x, **bounds):
+    links, root = exact_links(x)
+    got = embedding_dedup(vectors(spark, [(i, v, 1) for i, v in enumerate(x)]), **bounds).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == {i: (links[i], root[i]) for i in range(len(x))}
+
+
+def test_embedding_dedup_dense_label_over_many_blocks(spark):
+    rng = np.random.default_rng(5)
+    x = (rng.normal(size=64) + 0.26 * rng.normal(size=(600, 64))).astype(np.float32)
+    check_exact(spark, x, block_rows=50)
+
+
 def test_descent_finds_the_nearest():
     x = np.random.default_rng(3).normal(size=(1500, 16)).astype(np.float32)
     x /= np.linalg.norm(x, axis=1)[:, None]

@@ -1,25 +1,21 @@
-"""Embedding near-dedup by NN-descent.
+"""Embedding near-dedup: all pairs of a label, in blocks of bounded size.
 
 Vectors are compared within their label by cosine.  Equal vectors of a label
 are combined to one class first.  Classes are laid out in blocks of bounded
-size; a label that fits is one block.  In a block
-
-1. a first neighbour graph comes from the leaves of a few random trees;
-2. NN-descent refines it: the neighbours (both ways) of every vertex are joined
-   with each other, pairs with a new member only, until hardly a list changes;
-3. lists whose last neighbour still passes the threshold are saturated: their
-   vertices are measured against the whole block, in tiles;
-4. pairs near the threshold are measured again in double precision and the
-   edges that pass are kept.  A block that holds all of its label returns the
-   number of links and the component of each linked vertex, one row for each,
-   however dense a group is; only the blocks of a split label return edges.
-
-A label that is too large for a block is laid out by several sets of random
-hyperplanes, and a leaf that is still too large is cut into parts of which each
-two share a block.  Then neighbours of neighbours are joined across blocks,
-until no more edges are found.  Recall is audited against brute force over all
-rows for a bounded sample of vectors; while the audit finds less than
-``least_recall`` the search is repeated with more trees and longer lists.
+size: a label that fits is one block; a larger one is cut into parts, and each
+two parts, and each part by itself, are a block.  In a block
+
+1. all pairs are measured in tiles, in single precision;
+2. pairs near the threshold are measured again in double precision;
+3. each linked class gives one row, its number of links and the least vertex of
+   its component in the block, however dense a group is; links are not returned.
+
+Counts are summed over blocks, and components are joined over all of them.  No
+pair is left out, and an audit of a bounded sample raises if links
+are missing; what that costs grows as the
+square of the distinct vectors of a label.  ``descend`` is NN-descent, by which
+the pairs were sought before; it is slower than the tiles in a block of any size
+up to ``BLOCK_ROWS``, it misses pairs, and nothing here calls it.
 
 Defined results: vectors that are null, zero or hold null or non-finite
 components, and vectors with a null label, link with nothing; vectors of
@@ -43,10 +39,9 @@ from tracelake.llm.vectors import matrix, packed, usable
 THRESHOLD = 0.93
 NEIGHBOURS = 12
 BLOCK_ROWS = 16384
-SETS = 4
+TILE_ROWS = 256
 AUDIT_ROWS = 128
 LEAST_RECALL = 0.98
-MOST_TURNS = 3
 _NEAR = 1e-4
 
 
@@ -169,148 +164,67 @@ def _groups(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = low
 
 
-def threshold_edges(x: np.ndarray, graph: Graph, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (a < b) that pass the threshold up to rounding; those of saturated
-    vertices come from the whole block and not from the lists."""
-    if graph.k < 1:
-        return
-    least = threshold - _NEAR
-    passing = (graph.sims >= least) & (graph.ids >= 0)
-    a, b = np.nonzero(passing)[0], graph.ids[passing]
-    saturated = passing[:, -1]
-    lone = ~saturated[a] & ~saturated[b]
-    lo, hi = np.minimum(a[lone], b[lone]), np.maximum(a[lone], b[lone])
-    if len(lo):
-        pairs = np.unique(np.stack([lo, hi], axis=1), axis=0)
-        yield pairs[:, 0], pairs[:, 1]
-    full = np.flatnonzero(saturated)
-    for at in range(0, len(full), 1024):
-        part = full[at : at + 1024]
-        i, j = np.nonzero(x[part] @ x.T >= least)
-        i = part[i]
-        # Two saturated vertices meet twice; the lesser one gives the pair.
-        use = (i != j) & ((i < j) | ~saturated[j])
-        yield np.minimum(i[use], j[use]), np.maximum(i[use], j[use])
-
-
-def _block(threshold: float, k: int, turn: int):
-    """Links of a block.  Where it holds all of its label (``whole``) each linked
-    vertex gives one row: its number of links, copies counted, and the least
-    vertex of its component (a, b, n); else each link gives a row (a, b, null)."""
+def _block(threshold: float):
+    """Links of a block of two parts p < q, those across, or of one part p = q,
+    those within: each linked class gives one row, its number of links (n, copies
+    counted), its vertex (a) and the least vertex of its component here (b)."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         ids, vectors, copies = pdf["vec_id"].to_numpy(), pdf["vector"].tolist(), pdf["copies"].to_numpy()
-        whole = bool(pdf["whole"].iloc[0])
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for width in sorted({len(v) for v in vectors}):
-            own = np.array([i for i, v in enumerate(vectors) if len(v) == width])
+        cls, part, within = pdf["cls"].to_numpy(), pdf["part"].to_numpy(), pdf["p"].iloc[0] == pdf["q"].iloc[0]
+        out: list[tuple[np.ndarray, ...]] = []
+        width = np.array([len(v) for v in vectors])
+        for own in (np.flatnonzero(width == w) for w in np.unique(width)):
             own = own[np.argsort(ids[own], kind="stable")]
             exact = matrix([vectors[i] for i in own])
             length = np.sqrt((exact * exact).sum(axis=1))
             x = (exact / length[:, None]).astype(np.float32)
-            links, group = np.zeros(len(own), np.int64), np.arange(len(own))
-            graph = descend(x, k << turn, trees=3 + turn, seed=turn)
-            for a, b in threshold_edges(x, graph, threshold):
-                for lo in range(0, len(a), 1 << 16):
-                    i, j = a[lo : lo + (1 << 16)], b[lo : lo + (1 << 16)]
-                    cosine = np.einsum("nd,nd->n", exact[i], exact[j]) / (length[i] * length[j])
-                    i, j = i[cosine >= threshold], j[cosine >= threshold]
-                    if not len(i):
-                        continue
-                    if not whole:
-                        x_ids, y_ids = ids[own[i]], ids[own[j]]
-                        out.append((np.minimum(x_ids, y_ids), np.maximum(x_ids, y_ids), np.full(len(i), -1)))
-                        continue
-                    np.add.at(links, i, copies[own[j]])
-                    np.add.at(links, j, copies[own[i]])
+            weight, links, group = copies[own].astype(float), np.zeros(len(own)), np.arange(len(own))
+            rows = np.flatnonzero(part[own] == pdf["p"].iloc[0])
+            columns = rows if within else np.flatnonzero(part[own] != pdf["p"].iloc[0])
+            y = x[columns]
+            for at in range(0, len(rows), TILE_ROWS):
+                own_rows = rows[at : at + TILE_ROWS]
+                first = at if within else 0
+                sims = x[own_rows] @ y[first:].T
+                i, j = np.nonzero(sims >= threshold - _NEAR)
+                if within:
+                    i, j = i[i < j], j[i < j]
+                close = np.flatnonzero(sims[i, j] < threshold + _NEAR)
+                i, j = own_rows[i], columns[first + j]
+                keep = np.ones(len(i), bool)
+                for lo in range(0, len(close), 1 << 16):
+                    c = close[lo : lo + (1 << 16)]
+                    cosine = np.einsum("nd,nd->n", exact[i[c]], exact[j[c]]) / (length[i[c]] * length[j[c]])
+                    keep[c] = cosine >= threshold
+                i, j = i[keep], j[keep]
+                links += np.bincount(i, weight[j], len(own)) + np.bincount(j, weight[i], len(own))
+                apart = group[i] != group[j]
+                if apart.any():
                     all_ = np.arange(len(own))
-                    group = _groups(len(own), np.r_[all_, i], np.r_[group, j])
+                    group = _groups(len(own), np.r_[all_, i[apart]], np.r_[group, j[apart]])
             linked = np.flatnonzero(links)
-            if whole and len(linked):
-                # Vertices are in the order of their ids, so the least place is the least id.
-                out.append((ids[own[linked]], ids[own[group[linked]]], links[linked]))
-        a, b, n = map(np.concatenate, zip(*out)) if out else (np.zeros(0, np.int64),) * 3
-        n = pd.array(n, dtype="Int64")
-        n[np.asarray(n == -1)] = pd.NA
-        return pd.DataFrame({"a": a, "b": b, "n": n})
+            # Vertices are in the order of their ids, so the least place is the least id.
+            out.append((cls[own[linked]], ids[own[linked]], ids[own[group[linked]]], links[linked].astype(np.int64)))
+        return pd.DataFrame(dict(zip(("cls", "a", "b", "n"), map(np.concatenate, zip(*out)))))
 
     return run
 
 
-def _codes(sets: int, seed: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        planes: dict[tuple[int, int], np.ndarray] = {}
-        for pdf in batches:
-            codes = []
-            for raw, bits in zip(pdf["vector"], pdf["bits"]):
-                v = np.frombuffer(raw, np.float64)
-                row = []
-                for s in range(sets if bits else 1):
-                    if (len(v), s) not in planes:
-                        planes[len(v), s] = np.random.default_rng([seed, len(v), s]).normal(size=(30, len(v)))
-                    signs = planes[len(v), s][:bits] @ v > 0
-                    row.append(int(sum(1 << i for i, t in enumerate(signs) if t)))
-                codes.append(row)
-            yield pdf.assign(codes=codes)[["vec_id", "vector", "copies", "label", "whole", "codes"]]
-
-    return run
-
-
-def _placed(classes: DataFrame, block_rows: int, seed: int) -> DataFrame:
-    """Rows with the blocks they belong to (label, code set, leaf, two parts)."""
-    sizes = classes.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    bits = F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / block_rows)) + F.when(F.col("n") > block_rows, 1).otherwise(0)).cast("int")
-    coded = (
-        classes.join(sizes.select("label", F.least(bits, F.lit(30)).alias("bits"), (F.col("n") <= block_rows).alias("whole")), "label")
-        .select("vec_id", "vector", "copies", "label", "bits", "whole")
-        .mapInPandas(_codes(SETS, seed), "vec_id long, vector binary, copies long, label string, whole boolean, codes array<long>")
-        .select("vec_id", "vector", "copies", "label", "whole", F.posexplode("codes").alias("set", "leaf"))
-    )
-    leaves = coded.groupBy("label", "set", "leaf").agg(F.count(F.lit(1)).alias("m"))
-    # Parts of a leaf that is too large; each two of them make a block.
+def _placed(classes: DataFrame, block_rows: int) -> DataFrame:
+    """Rows with the blocks they belong to (label, two parts).  A label of at most
+    ``block_rows`` is one part; of a larger one each two parts make a block, and
+    each part one more, so each pair of rows is measured in exactly one block."""
+    sizes = classes.groupBy("label").agg(F.count(F.lit(1)).alias("m"))
     parts = F.when(F.col("m") <= block_rows, 1).otherwise(F.ceil(2 * F.col("m") / block_rows)).cast("int")
-    part = F.pmod(F.xxhash64("vec_id", "set"), F.col("parts")).cast("int")
-    other = F.explode(F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.expr("filter(sequence(0, parts - 1), p -> p <> part)")))
     return (
-        coded.join(leaves.select("label", "set", "leaf", parts.alias("parts")), ["label", "set", "leaf"])
-        .withColumn("part", part)
-        .withColumn("other", other)
-        .select("vec_id", "vector", "copies", "whole", "label", "set", "leaf", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"))
+        classes.join(sizes.select("label", parts.alias("parts")), "label")
+        .withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        .select("cls", "vec_id", "vector", "copies", "label", "part", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"))
     )
 
 
-def _cosines(threshold: float):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            same = pdf["va"].map(len) == pdf["vb"].map(len)
-            pdf = pdf[same]
-            keep = []
-            for a, b in zip(pdf["va"], pdf["vb"]):
-                x, y = np.frombuffer(a, np.float64), np.frombuffer(b, np.float64)
-                keep.append(float(x @ y) / (np.sqrt(x @ x) * np.sqrt(y @ y)) >= threshold)
-            yield pdf[np.array(keep, bool)][["a", "b"]]
-
-    return run
-
-
-def _across(edges: DataFrame, classes: DataFrame, threshold: float, k: int) -> DataFrame:
-    """Neighbours of neighbours over all blocks: of each vertex k links are
-    joined, until a turn finds no more."""
-    while True:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        lists = both.groupBy("a").agg(F.slice(F.array_sort(F.collect_set("b")), 1, k).alias("near"))
-        pairs = (
-            lists.select(F.explode("near").alias("a"), "near").select("a", F.explode("near").alias("b"))
-            .where("a < b").distinct().join(edges, ["a", "b"], "left_anti")
-        )
-        va = classes.select(F.col("vec_id").alias("a"), F.col("vector").alias("va"))
-        vb = classes.select(F.col("vec_id").alias("b"), F.col("vector").alias("vb"))
-        more = materialize(pairs.join(va, "a").join(vb, "b").mapInPandas(_cosines(threshold), "a long, b long"))
-        if more.isEmpty():
-            return edges
-        edges = materialize(edges.unionByName(more))
-
-
 def audit(classes: DataFrame, linked: DataFrame, threshold: float = THRESHOLD, rows: int = AUDIT_ROWS) -> float:
     """Share of the true links (copies counted) of at most ``rows`` vectors,
     those least by a hash of their id, that ``linked`` (a, others) has.  They
@@ -336,7 +250,7 @@ def audit(classes: DataFrame, linked: DataFrame, threshold: float = THRESHOLD, r
 
 
 def embedding_dedup(
-    vectors: DataFrame, threshold: float = THRESHOLD, k: int = NEIGHBOURS, block_rows: int = BLOCK_ROWS,
+    vectors: DataFrame, threshold: float = THRESHOLD, block_rows: int = BLOCK_ROWS,
     least_recall: float = LEAST_RECALL,
 ) -> DataFrame:
     """One row per row of ``vectors`` (vec_id, embedding, label): n_links,
@@ -345,32 +259,19 @@ def embedding_dedup(
     fine = rows.where(usable(F.col("embedding")) & F.col("label").isNotNull() & F.col("vec_id").isNotNull())
     members = packed(fine, "label")
     # A class is a distinct vector of a label; its least id stands for it.
-    classes = materialize(members.groupBy("label", "vector").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("copies")))
-    large = classes.groupBy("label").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block_rows)
-    split = not large.isEmpty()
-    weight = classes.select("vec_id", "copies")
-    rows_found = None
-    for turn in range(MOST_TURNS):
-        blocks = _placed(classes, block_rows, turn).groupBy("label", "set", "leaf", "p", "q")
-        found = blocks.applyInPandas(_block(threshold, k, turn), "a long, b long, n long")
-        rows_found = materialize((found if rows_found is None else found.unionByName(rows_found)).distinct())
-        # Links of split labels one by one; of whole labels a count by vertex.
-        apart = rows_found.where("n is null").select("a", "b")
-        if split:
-            apart = _across(apart, classes, threshold, k)
-        both = apart.unionByName(apart.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        linked = (
-            both.join(weight.withColumnRenamed("vec_id", "b"), "b").groupBy("a").agg(F.sum("copies").alias("others"))
-            .unionByName(rows_found.where("n is not null").groupBy("a").agg(F.max("n").alias("others")))
-        )
-        if audit(classes, linked, threshold) >= least_recall:
-            break
-    edges = apart.unionByName(rows_found.where("n is not null").select("a", "b"))
-
-    found = connected_components(edges)
+    classes = members.groupBy("label", "vector").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("copies"))
+    classes = materialize(classes.withColumn("cls", F.monotonically_increasing_id()))
+    blocks = _placed(classes, block_rows).groupBy("label", "p", "q")
+    found = materialize(blocks.applyInPandas(_block(threshold), "cls long, a long, b long, n long"))
+    linked = found.groupBy("cls").agg(F.sum("n").alias("others"))
+    # The audit reads (a, others) by vertex.
+    by_vertex = found.groupBy("a", "cls").agg(F.sum("n").alias("n")).groupBy("a").agg(F.max("n").alias("others"))
+    if audit(classes, by_vertex, threshold) < least_recall:
+        raise RuntimeError("links are missing")
+    roots = connected_components(found.select("a", "b"))
     named = (
-        classes.join(linked.withColumnRenamed("a", "vec_id"), "vec_id", "left")
-        .join(found.withColumnRenamed("v", "vec_id"), "vec_id", "left")
+        classes.join(linked, "cls", "left")
+        .join(roots.withColumnRenamed("v", "vec_id"), "vec_id", "left")
         .withColumn("root", F.coalesce("root", "vec_id"))
     )
     least = named.groupBy("root").agg(F.min("vec_id").alias("component_id"))
