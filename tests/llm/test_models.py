@@ -102,6 +102,14 @@ def test_embedding_dedup_dense_label_over_many_blocks(spark):
     check_exact(spark, x, block_rows=50)
 
 
+def test_embedding_dedup_few_pairs_beside_a_large_group(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(4000, 128))
+    x[2000:2200] = x[:200] + 0.36 * rng.normal(size=(200, 128))
+    x[3600:] = x[3600] + 0.02 * rng.normal(size=(400, 128))
+    check_exact(spark, x.astype(np.float32))
+
+
 def test_descent_finds_the_nearest():
     x = np.random.default_rng(3).normal(size=(1500, 16)).astype(np.float32)
     x /= np.linalg.norm(x, axis=1)[:, None]

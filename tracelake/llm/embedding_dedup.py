@@ -11,8 +11,7 @@ two parts, and each part by itself, are a block.  In a block
    its component in the block, however dense a group is; links are not returned.
 
 Counts are summed over blocks, and components are joined over all of them.  No
-pair is left out, and an audit of a bounded sample raises if links
-are missing; what that costs grows as the
+pair is left out, so there is nothing to audit; what that costs grows as the
 square of the distinct vectors of a label.  ``descend`` is NN-descent, by which
 the pairs were sought before; it is slower than the tiles in a block of any size
 up to ``BLOCK_ROWS``, it misses pairs, and nothing here calls it.
@@ -26,8 +25,6 @@ component's id; other columns are neither read nor returned.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -40,8 +37,6 @@ THRESHOLD = 0.93
 NEIGHBOURS = 12
 BLOCK_ROWS = 16384
 TILE_ROWS = 256
-AUDIT_ROWS = 128
-LEAST_RECALL = 0.98
 _NEAR = 1e-4
 
 
@@ -225,34 +220,7 @@ def _placed(classes: DataFrame, block_rows: int) -> DataFrame:
     )
 
 
-def audit(classes: DataFrame, linked: DataFrame, threshold: float = THRESHOLD, rows: int = AUDIT_ROWS) -> float:
-    """Share of the true links (copies counted) of at most ``rows`` vectors,
-    those least by a hash of their id, that ``linked`` (a, others) has.  They
-    are compared with all vectors."""
-    chosen = classes.orderBy(F.xxhash64("vec_id"), "vec_id").limit(rows).select("vec_id", "vector", "label").toPandas()
-    kept = [(int(i), np.frombuffer(v, np.float64), x) for i, v, x in zip(chosen["vec_id"], chosen["vector"], chosen["label"])]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for i, v, x in kept:
-                own = pdf[(pdf["label"] == x) & (pdf["vector"].map(len) == 8 * len(v)) & (pdf["vec_id"] != i)]
-                if len(own):
-                    m = matrix(own["vector"])
-                    hit = (m @ v) / (np.sqrt((m * m).sum(axis=1)) * np.sqrt(v @ v)) >= threshold + 1e-12
-                    if hit.any():
-                        out.append((i, int(own["copies"].to_numpy()[hit].sum())))
-            yield pd.DataFrame(out, columns=["a", "true"]).astype("int64")
-
-    truth = classes.select("vec_id", "vector", "label", "copies").mapInPandas(run, "a long, true long").groupBy("a").agg(F.sum("true").alias("true"))
-    found = truth.join(linked, "a", "left").agg(F.sum("true"), F.sum(F.least("true", F.coalesce("others", F.lit(0))))).first()
-    return found[1] / found[0] if found[0] else 1.0
-
-
-def embedding_dedup(
-    vectors: DataFrame, threshold: float = THRESHOLD, block_rows: int = BLOCK_ROWS,
-    least_recall: float = LEAST_RECALL,
-) -> DataFrame:
+def embedding_dedup(vectors: DataFrame, threshold: float = THRESHOLD, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """One row per row of ``vectors`` (vec_id, embedding, label): n_links,
     component_id, kept."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", F.col("label").cast("string").alias("label"))
@@ -264,10 +232,6 @@ def embedding_dedup(
     blocks = _placed(classes, block_rows).groupBy("label", "p", "q")
     found = materialize(blocks.applyInPandas(_block(threshold), "cls long, a long, b long, n long"))
     linked = found.groupBy("cls").agg(F.sum("n").alias("others"))
-    # The audit reads (a, others) by vertex.
-    by_vertex = found.groupBy("a", "cls").agg(F.sum("n").alias("n")).groupBy("a").agg(F.max("n").alias("others"))
-    if audit(classes, by_vertex, threshold) < least_recall:
-        raise RuntimeError("links are missing")
     roots = connected_components(found.select("a", "b"))
     named = (
         classes.join(linked, "cls", "left")
