@@ -169,6 +169,23 @@ def test_ann_recall_with_many_cells_and_blocks(spark, monkeypatch):
     assert np.mean([len(got[q] & {i for i, _ in v}) / 10 for q, v in want.items()]) >= 0.9
 
 
+def test_ann_measures_queries_that_meet_few_rows(spark, monkeypatch):
+    from tracelake.llm import ann as module
+
+    monkeypatch.setattr(module, "EXACT_QUERIES", 7, raising=False)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(3000, 64)).astype(np.float32)
+    x[::100] *= 30
+    rows = [(i, v, 0) for i, v in enumerate(x)] + [(0, x[0], 0)] * 12
+    got = {}
+    for r in ann(vectors(spark, rows), F.col("vec_id") % 100 == 0, group_rows=1000).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    want = brute(rows, set(range(0, 3000, 100)), 10)
+    assert set(got) == set(want) and all([n for n, _ in v] == list(range(1, 11)) for v in got.values())
+    recall = [len({i for _, i in got[q]} & {i for i, _ in v}) / 10 for q, v in want.items()]
+    assert np.mean(recall) >= 0.9 and recall.count(1.0) >= 25
+
+
 def test_toxicity_learns_and_leaves_the_clean(spark):
     rng = np.random.default_rng(0)
     words = ["w%d" % i for i in range(300)]

@@ -19,6 +19,10 @@ probing queries than a bound is cut into blocks that are dealt apart, each
 block of rows meeting each block of queries.  A group returns at most k rows
 for each query in it.
 
+A query that has met fewer than k rows, as where lengths differ much and cells
+are too narrow for the long ones, is measured against all rows of its length,
+in blocks of both sides.
+
 Defined results: rows whose vector is null, zero or holds null or non-finite
 components take no part, nor do rows or queries with a null id; vectors of
 another length are never met; an id's own rows are never its neighbours; of
@@ -49,6 +53,8 @@ PROBES = 40
 GROUP_ROWS = 16384
 CELL_ROWS = 4096
 CELL_QUERIES = 256
+EXACT_QUERIES = 4096
+ROWS_A_CELL = 200
 
 
 def probe_sets(gaps: np.ndarray, probes: int) -> list[list[tuple[int, int]]]:
@@ -146,11 +152,29 @@ def _meet(k: int):
                 continue
             x, q = matrix(rows["vector"].iloc[at]), matrix(queries["vector"].iloc[own])
             found += nearest_in(q, queries["id"].to_numpy()[own], x, rows["id"].to_numpy()[at], k)
-        if not found:
-            return empty
-        out = pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*found)))))
-        out = out.sort_values(["query_id", "score", "vec_id"]).drop_duplicates(["query_id", "vec_id"])
-        return out.groupby("query_id", sort=False).head(k)
+        return _first(found, k) if found else empty
+
+    return run
+
+
+def _first(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int) -> pd.DataFrame:
+    out = pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*found)))))
+    out = out.sort_values(["query_id", "score", "vec_id"]).drop_duplicates(["query_id", "vec_id"])
+    return out.groupby("query_id", sort=False).head(k)
+
+
+def _measure(k: int):
+    """All rows of a block against all queries of a block, of one length."""
+
+    def run(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        if len(rows) and len(queries):
+            ids = rows["id"].to_numpy()
+            # So many nearest rows hold k ids, however an id repeats.
+            most = k * int(np.unique(ids, return_counts=True)[1].max())
+            found = list(nearest_in(matrix(queries["vector"]), queries["id"].to_numpy(), matrix(rows["vector"]), ids, most))
+        empty = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        return _first(found or empty, k)
 
     return run
 
@@ -165,7 +189,7 @@ def ann(
     rows = vectors.where(usable(F.col("embedding"))).where("vec_id is not null").select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", is_query.alias("is_query"))
     square = F.aggregate(F.col("embedding").cast("array<double>"), F.lit(0.0), lambda s, x: s + x * x)
     total, mean = rows.agg(F.count(F.lit(1)), F.avg(square)).first()
-    hashes = max(0, min(hashes, round(math.log2(max(total, 1) / 200))))
+    hashes = max(0, min(hashes, round(math.log2(max(total, 1) / ROWS_A_CELL))))
     width *= math.sqrt(mean or 1.0)
     groups = max(1, math.ceil(total * tables / group_rows))
 
@@ -198,6 +222,33 @@ def ann(
         .cogroup(dealt(asked, "query", "row").groupBy("group"))
         .applyInPandas(_meet(k), "query_id long, vec_id long, score double")
     )
-    best = met.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    def ranked(pairs: DataFrame) -> DataFrame:
+        best = pairs.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+        return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    top = materialize(ranked(met))
+    done = top.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).select(F.col("query_id").alias("vec_id"))
+    short = materialize(packed_rows.where("is_query").select("vec_id", "vector").join(done, "vec_id", "left_anti"))
+    n_short = short.count()
+    if not n_short:
+        return top
+    # Queries that met fewer than k rows are measured against all rows.
+    row_blocks, query_blocks = math.ceil(total / group_rows), math.ceil(n_short / EXACT_QUERIES)
+
+    def blocks(side: DataFrame, own: str, n: int, other: str, m: int) -> DataFrame:
+        return side.select(
+            F.col("vec_id").alias("id"), F.col("vector").alias("vector"), F.octet_length("vector").alias("size"),
+            F.pmod(F.xxhash64("vec_id", "vector"), F.lit(n)).alias(f"{own}_block"),
+            F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))).alias(f"{other}_block"),
+        )
+
+    sizes = short.select(F.octet_length("vector").alias("size")).distinct()
+    every = blocks(packed_rows, "row", row_blocks, "query", query_blocks).join(sizes, "size", "left_semi")
+    keys = ("size", "row_block", "query_block")
+    exact = (
+        every.groupBy(*keys).cogroup(blocks(short, "query", query_blocks, "row", row_blocks).groupBy(*keys))
+        .applyInPandas(_measure(k), "query_id long, vec_id long, score double")
+    )
+    return top.join(done.withColumnRenamed("vec_id", "query_id"), "query_id", "left_semi").select(*top.columns).unionByName(ranked(exact))
