@@ -4,12 +4,26 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from functools import cache
 
+# An attribute's value is quoted only where a quote comes right after the equals
+# sign; any other quote is a character like others, as the HTML standard has it.
+_VALUE = r"=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^\s>\"'][^\s>]*+)?+"
 _MARK = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)",
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|</(?=[^a-zA-Z])[^>]*(?:>|\Z)"
+    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]|" + _VALUE + r")*+)(?:>|\Z)",
     re.S,
 )
-_NAME = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_ATTRIBUTE = re.compile(r"([^\s/=][^\s/=]*+)\s*+(?:=\s*+(?:\"([^\"]*+)\"?|'([^']*+)'?|([^\s\"'][^\s]*+)))?+")
+_NAMING = ("class", "id", "role")
+
+
+def _names(attributes: str) -> str:
+    """Words of an element's class, id and role."""
+    if "=" not in attributes:
+        return ""
+    return " ".join(a or b or c for name, a, b, c in _ATTRIBUTE.findall(attributes) if name.lower() in _NAMING).lower()
+
 
 # Fixed values of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -18,6 +32,7 @@ INLINE = frozenset(
     "a abbr acronym b bdi bdo big br button cite code data del dfn em font i img input ins kbd label mark meter "
     "output q rp rt ruby s samp select small span strike strong sub sup time tt u var wbr".split()
 )
+_FOREIGN = ("svg", "math")
 #: Elements that end an open paragraph.
 _ENDS_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 "
@@ -37,6 +52,11 @@ _ENDS = {
 _P_SCOPE = frozenset("html body td th table button div section article main aside nav header footer form li blockquote figure".split())
 
 
+@cache
+def _raw_end(tag: str) -> re.Pattern:
+    return re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I | re.A)
+
+
 @dataclass
 class Tree:
     """Elements in page order; ``pieces`` are (element, text), and (element,
@@ -54,7 +74,6 @@ def parse(html: str) -> Tree:
     tags, names, parents, depths, pieces = tree.tags, tree.names, tree.parents, tree.depths, tree.pieces
     stack = [0]
     open_count: dict[str, int] = {}
-    lower = None
 
     def pop() -> None:
         n = stack.pop()
@@ -106,19 +125,20 @@ def parse(html: str) -> Tree:
         attributes = found[3]
         node = len(tags)
         tags.append(tag)
-        names.append(" ".join(a or b or c for a, b, c in _NAME.findall(attributes)).lower() if "=" in attributes else "")
+        names.append(_names(attributes))
         parents.append(stack[-1])
         depths.append(depths[stack[-1]] + 1)
         if tag not in INLINE:
             pieces.append((node, None))
-        if tag in VOID or attributes.endswith("/"):
+        # A slash at the end closes drawings and formulas alone.
+        foreign = tag in _FOREIGN or any(open_count.get(f) for f in _FOREIGN)
+        if tag in VOID or (foreign and attributes.endswith("/")):
             continue
         stack.append(node)
         open_count[tag] = open_count.get(tag, 0) + 1
         if tag in RAW:
-            if lower is None:
-                lower = html.lower() if html.isascii() else re.sub("[A-Z]", lambda m: m.group().lower(), html)
-            end = lower.find("</" + tag, at)
-            pieces.append((node, html[at : end if end >= 0 else n]))
-            at = end if end >= 0 else n
+            end = _raw_end(tag).search(html, at)
+            until = end.start() if end else n
+            pieces.append((node, html[at:until]))
+            at = until
     return tree
