@@ -20,13 +20,13 @@ def nearest(events: DataFrame, frames: DataFrame, by: str, ts: str, frame_ts: st
     """Each event with the nearest frame time; the earlier of two equally near;
     null for an event before the first or after the last frame.
 
-    One exchange by recording and one sort: frames and events are merged, and
-    the last frame before and the first after are carried along."""
-    w = Window.partitionBy(by).orderBy("__t", F.col("__frame").isNull().cast("int"))
-    back = F.last("__frame", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    ahead = F.first("__frame", ignorenulls=True).over(
-        Window.partitionBy(by).orderBy("__t", F.col("__frame").isNull().cast("int").desc()).rowsBetween(0, Window.unboundedFollowing)
-    )
+    One exchange by recording: frames and events are merged, the last frame
+    before is carried along in order of time, and the first after in reverse
+    order, so that each pass is linear in the rows of a recording."""
+    first = Window.partitionBy(by).orderBy("__t", F.col("__frame").isNull().cast("int"))
+    last = Window.partitionBy(by).orderBy(F.col("__t").desc(), F.col("__frame").isNull().cast("int"))
+    carried = lambda w: F.last("__frame", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    back, ahead = carried(first), carried(last)
     t = F.col("__t").cast("double")
     chosen = F.when(
         F.col("__back").isNotNull() & F.col("__ahead").isNotNull(),
@@ -52,33 +52,31 @@ def left_rank(events: DataFrame, frames: DataFrame, by: str, ts: str, frame_ts:
     )
 
 
-def in_intervals(frames: DataFrame, intervals: DataFrame, by: str, t: str, start: str, stop: str, step: float | None = None) -> DataFrame:
+def in_intervals(frames: DataFrame, intervals: DataFrame, by: str, t: str, start: str, stop: str, step: float) -> DataFrame:
     """Frames joined with the intervals that hold them, both ends included.
 
-    With ``step`` both sides also meet on time buckets of that width, so that a
-    long recording with many intervals is an equi-join over many partitions and
-    not a product of its frames and intervals."""
-    if step is None:
-        return frames.join(intervals, by).where(F.col(t).between(F.col(start), F.col(stop)))
+    Both sides also meet on time buckets of width ``step`` (about the length of
+    an interval), so that a long recording with many intervals is an equi-join
+    over many partitions and not a product of its frames and intervals."""
     bucket = lambda c: F.floor(F.col(c).cast("double") / step)
-    spread = intervals.withColumn("__bucket", F.explode(F.sequence(bucket(start), bucket(stop))))
+    spread = intervals.where(F.col(start) <= F.col(stop)).withColumn("__bucket", F.explode(F.sequence(bucket(start), bucket(stop))))
     return (
         frames.withColumn("__bucket", bucket(t)).join(spread, [by, "__bucket"])
         .where(F.col(t).between(F.col(start), F.col(stop))).drop("__bucket")
     )
 
 
-def outside_intervals(frames: DataFrame, intervals: DataFrame, by: str, t: str, start: str, stop: str, step: float | None = None) -> DataFrame:
-    """Frames that no interval holds: the baseline."""
-    if step is None:
-        other = intervals.select(F.col(by).alias("__by"), F.col(start).alias("__start"), F.col(stop).alias("__stop"))
-        return frames.join(other, (F.col(by) == F.col("__by")) & F.col(t).between(F.col("__start"), F.col("__stop")), "left_anti")
-    bucket = lambda c: F.floor(F.col(c).cast("double") / step)
-    spread = intervals.select(
-        F.col(by).alias("__by"), F.col(start).alias("__start"), F.col(stop).alias("__stop"), F.explode(F.sequence(bucket(start), bucket(stop))).alias("__b")
-    )
-    meets = (F.col(by) == F.col("__by")) & (bucket(t) == F.col("__b")) & F.col(t).between(F.col("__start"), F.col("__stop"))
-    return frames.join(spread, meets, "left_anti")
+def outside_intervals(frames: DataFrame, intervals: DataFrame, by: str, t: str, start: str, stop: str) -> DataFrame:
+    """Frames that no interval holds: the baseline.
+
+    One exchange and one sort by recording: the greatest end of the intervals
+    begun so far is carried along, and a frame beyond it is in none."""
+    reach = frames.schema[t].dataType
+    opened = intervals.where(F.col(start) <= F.col(stop)).select(by, F.col(start).cast(reach).alias("__t"), F.col(stop).cast(reach).alias("__stop"))
+    merged = frames.withColumn("__t", F.col(t)).withColumn("__stop", F.lit(None).cast(reach)).unionByName(opened.withColumn("__opens", F.lit(True)), allowMissingColumns=True)
+    w = Window.partitionBy(by).orderBy("__t", F.col("__opens").isNull().cast("int")).rowsBetween(Window.unboundedPreceding, 0)
+    carried = merged.withColumn("__reach", F.max("__stop").over(w))
+    return carried.where(F.col("__opens").isNull() & (F.col("__reach").isNull() | (F.col("__reach") < F.col(t)) | F.col(t).isNull())).select(*frames.columns)
 
 
 def expand(df: DataFrame, start: str, stop: str, out: str = "idx") -> DataFrame:

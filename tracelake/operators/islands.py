@@ -16,9 +16,12 @@ def runs(df: DataFrame, by: str, order: str, active: Column) -> DataFrame:
 
 
 def edges(df: DataFrame, by: str, order: str, active: Column) -> DataFrame:
-    """Starts and stops of activity: the row at which it begins, and the last row
-    before it ends (the last row of all where it never does)."""
-    return runs(df, by, order, active).select(by, F.col("run").alias("window"), "start", "stop")
+    """Starts and stops of movement as a search for changes finds them: the last
+    quiet row before movement begins, and its last row.
+
+    Movement at the very start has no such row before it; it then starts at row
+    1, and likewise a stop that is never reached is the last row."""
+    return runs(df, by, order, active).select(by, F.col("run").alias("window"), F.greatest(F.col("start") - 1, F.lit(1)).alias("start"), "stop")
 
 
 def sized_windows(found: DataFrame, by: str, size: int | None = None, big_gap: int = 200) -> DataFrame:
@@ -27,8 +30,23 @@ def sized_windows(found: DataFrame, by: str, size: int | None = None, big_gap: i
     w = Window.partitionBy(by).orderBy("start")
     gap = F.lead("start").over(w) - F.col("stop")
     kept = found.withColumn("__gap", gap).where(F.coalesce(F.col("__gap") <= big_gap, F.lit(True)))
-    width = F.lit(size) if size is not None else F.round(F.avg(F.col("stop") - F.col("start")).over(Window.partitionBy(by))).cast("long")
-    return kept.withColumn("stop", F.col("start") + width).select(by, "run", "start", "stop")
+    width = F.lit(size) if size is not None else F.round(F.avg("length").over(Window.partitionBy(by))).cast("long")
+    return kept.withColumn("stop", F.col("start") + width - 1).select(by, "run", "start", "stop")
+
+
+def movement_windows(df: DataFrame, by: str, order: str, value: str, size: int | None = None, big_gap: int = 200) -> DataFrame:
+    """Windows of positive and of negative values: by, side, run, start, stop.
+
+    All have one size; where none is given it is the rounded mean length of the
+    positive windows, or of the negative ones where there are no positive."""
+    up = runs(df, by, order, F.col(value) > 0).withColumn("side", F.lit("pos"))
+    down = runs(df, by, order, F.col(value) < 0).withColumn("side", F.lit("neg"))
+    w = Window.partitionBy(by, "side").orderBy("start")
+    found = up.unionByName(down).withColumn("__gap", F.lead("start").over(w) - F.col("stop"))
+    kept = found.where(F.coalesce(F.col("__gap") <= big_gap, F.lit(True)))
+    of = lambda side: F.round(F.avg(F.when(F.col("side") == side, F.col("length"))).over(Window.partitionBy(by)))
+    width = F.lit(size) if size is not None else F.coalesce(of("pos"), of("neg")).cast("long")
+    return kept.withColumn("stop", F.col("start") + width - 1).select(by, "side", "run", "start", "stop")
 
 
 def compacted(df: DataFrame, by: str, order: str, keep: Column) -> DataFrame:
@@ -40,11 +58,25 @@ def compacted(df: DataFrame, by: str, order: str, keep: Column) -> DataFrame:
     )
 
 
-def mask_trials(trials: DataFrame, kept: DataFrame, by: str) -> DataFrame:
+def mask_trials(trials: DataFrame, kept: DataFrame, by: str, shift: int = 0) -> DataFrame:
     """Start and stop of each trial counted in the compacted rows alone; trials
-    without a kept row are left out."""
-    inside = trials.join(kept.select(by, "row", "relative_row"), by).where(F.col("row").between(F.col("start"), F.col("stop")))
-    return inside.groupBy(*trials.columns).agg(F.min("relative_row").alias("relative_start"), F.max("relative_row").alias("relative_stop"))
+    without a kept row are left out.  With ``shift`` the kept rows count as that
+    many rows later, as where a mask was taken of differences.
+
+    One exchange and one sort by recording: kept rows are counted along, and no
+    trial meets the rows of its recording."""
+    own = F.struct(*trials.columns)
+    none = F.lit(None).cast(trials.select(own.alias("t")).schema["t"].dataType)
+    points = kept.select(by, (F.col("row") + shift).alias("__at"), F.lit(1).alias("__kind"), none.alias("__trial"))
+    starts = trials.select(by, F.col("start").alias("__at"), F.lit(0).alias("__kind"), own.alias("__trial"))
+    stops = trials.select(by, F.col("stop").alias("__at"), F.lit(2).alias("__kind"), own.alias("__trial"))
+    w = Window.partitionBy(by).orderBy("__at", "__kind").rowsBetween(Window.unboundedPreceding, 0)
+    counted = points.unionByName(starts).unionByName(stops).withColumn("__n", F.sum((F.col("__kind") == 1).cast("int")).over(w))
+    ends = counted.where("__kind <> 1").groupBy("__trial").agg(
+        (F.max(F.when(F.col("__kind") == 0, F.col("__n"))) + 1).cast("int").alias("relative_start"),
+        F.max(F.when(F.col("__kind") == 2, F.col("__n"))).cast("int").alias("relative_stop"),
+    )
+    return ends.where("relative_start <= relative_stop").select("__trial.*", "relative_start", "relative_stop")
 
 
 def cleared(df: DataFrame, by: str, order: str, value: str, active: Column, keep_sign: int) -> DataFrame:

@@ -57,7 +57,7 @@ def interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_BASE} SELECT user_id, frame_us FROM f WHERE NOT EXISTS (SELECT 1 FROM i WHERE f.user_id = i.user_id AND frame_us BETWEEN start_us AND stop_us)")
 def baseline_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return align.outside_intervals(_frames(spark, sf_dir), _trials(spark, sf_dir), "user_id", "frame_us", "start_us", "stop_us", step=_DAY)
+    return align.outside_intervals(_frames(spark, sf_dir), _trials(spark, sf_dir), "user_id", "frame_us", "start_us", "stop_us")
 
 
 @query("SELECT o_orderkey, unnest(generate_series(o_orderkey, o_orderkey + o_custkey % 5 - 1)) AS idx FROM orders WHERE o_custkey % 5 > 0")
@@ -91,7 +91,7 @@ def activity_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {_RUNS}, k AS (SELECT *, lead(start) OVER (PARTITION BY user_id ORDER BY start) - stop AS gap FROM r)
-SELECT user_id, run::INT AS run, start::INT AS start, start + round(avg(stop - start) OVER (PARTITION BY user_id))::BIGINT AS stop FROM k WHERE coalesce(gap <= 4, true)""")
+SELECT user_id, run::INT AS run, start::INT AS start, start + round(avg(length) OVER (PARTITION BY user_id))::BIGINT - 1 AS stop FROM k WHERE coalesce(gap <= 4, true)""")
 def edge_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return islands.sized_windows(_runs(spark, sf_dir), "user_id", big_gap=4)
 
@@ -109,3 +109,32 @@ SELECT n.user_id, n.event_id, coalesce(z.total > 0, false) AS mask FROM n LEFT J
 def mask_clear(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _samples(spark, sf_dir).withColumn("kin", F.col("value") - 80)
     return islands.cleared(rows, "user_id", "event_id", "kin", F.col("value") > 50, 1).select("user_id", "event_id", "mask")
+
+
+_SIDES = """WITH n AS (SELECT user_id, sign(value - 50)::INT AS side, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS row FROM events),
+g AS (SELECT *, row - row_number() OVER (PARTITION BY user_id, side ORDER BY row) AS island FROM n WHERE side <> 0),
+r AS (SELECT user_id, side, min(row) AS start, max(row) AS stop, count(*) AS length, row_number() OVER (PARTITION BY user_id, side ORDER BY min(row)) AS run FROM g GROUP BY user_id, side, island),
+k AS (SELECT *, lead(start) OVER (PARTITION BY user_id, side ORDER BY start) - stop AS gap FROM r), d AS (SELECT * FROM k WHERE coalesce(gap <= 6, true)),
+a AS (SELECT user_id, coalesce(round(avg(length) FILTER (WHERE side = 1)), round(avg(length) FILTER (WHERE side = -1)))::BIGINT AS size FROM d GROUP BY user_id)"""
+
+
+@query(f"{_SIDES} SELECT d.user_id, CASE WHEN side = 1 THEN 'pos' ELSE 'neg' END AS side, run::INT AS run, start::INT AS start, start + size - 1 AS stop FROM d JOIN a USING (user_id)")
+def movement_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _samples(spark, sf_dir).withColumn("kin", F.col("value") - 50)
+    return islands.movement_windows(rows, "user_id", "event_id", "kin", big_gap=6)
+
+
+@query("""WITH n AS (SELECT user_id, (value > 50)::INT AS act, row_number() OVER w AS row, lag((value > 50)::INT) OVER w AS before, lead((value > 50)::INT) OVER w AS after FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+a AS (SELECT user_id, greatest(row - 1, 1) AS start, row_number() OVER (PARTITION BY user_id ORDER BY row) AS w FROM n WHERE act = 1 AND coalesce(before, 0) = 0),
+z AS (SELECT user_id, row AS stop, row_number() OVER (PARTITION BY user_id ORDER BY row) AS w FROM n WHERE act = 1 AND coalesce(after, 0) = 0)
+SELECT user_id, w::INT AS window, start::INT AS start, stop::INT AS stop FROM a JOIN z USING (user_id, w)""")
+def movement_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return islands.edges(_samples(spark, sf_dir), "user_id", "event_id", F.col("value") > 50)
+
+
+@query(f"""WITH {_RUNS}, c AS (SELECT user_id, row + 1 AS row, row_number() OVER (PARTITION BY user_id ORDER BY row) AS relative_row FROM n WHERE value > 20)
+SELECT r.user_id, run::INT AS run, start::INT AS start, stop::INT AS stop, length, min(relative_row)::INT AS relative_start, max(relative_row)::INT AS relative_stop
+FROM r JOIN c ON c.user_id = r.user_id AND c.row BETWEEN start AND stop GROUP BY ALL""")
+def mask_compact_shifted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = islands.compacted(_samples(spark, sf_dir), "user_id", "event_id", F.col("value") > 20)
+    return islands.mask_trials(_runs(spark, sf_dir), kept, "user_id", shift=1)
