@@ -47,14 +47,29 @@ def test_nsx_packets(tmp_path):
     with open(tmp_path / "p.ns5", "ab") as f:
         f.write(struct.pack("<BII", 1, 90, 40) + more.tobytes())  # says 40, holds 30
     head = nsx.read_header(str(tmp_path / "p.ns5"))
-    assert (head.nip_start, head.n_samples, head.pauses) == (90, 30, True)
+    assert (head.nip_start, head.packet_start, head.n_samples, head.pauses) == (5, 90, 30, True)
     nsx.write(str(tmp_path / "q.ns5"), more)
     with open(tmp_path / "q.ns5", "ab") as f:
         f.write(struct.pack("<BII", 1, 90, 3) + more[:3].tobytes())
     assert nsx.read_header(str(tmp_path / "q.ns5")).n_samples == 30
     nsx.write_range(str(tmp_path / "q.ns5"), str(tmp_path / "r.ns5"), 5, 9)
     head = nsx.read_header(str(tmp_path / "r.ns5"))
-    assert (head.n_samples, head.nip_start) == (5, 4)
+    assert (head.n_samples, head.packet_start) == (5, 4)
+
+
+def test_nsx_header_byte_by_byte(spark, tmp_path):
+    x = np.arange(24, dtype="<i2").reshape(12, 2)
+    body = b"NEURALCD" + bytes([2, 3]) + struct.pack("<I", 314 + 2 * 66) + b"30 kS/s".ljust(16, b"\0") + b"comment".ljust(252, b"\xff")
+    body += struct.pack("<III", 777, 1, 30000) + struct.pack("<8H", *range(8)) + struct.pack("<I", 2)
+    for i in range(2):
+        channel = b"CC" + struct.pack("<H", 40 + i) + f"elec{i}".encode().ljust(16, b"\0") + b"\1\2" + struct.pack("<4h", -1000, 1000, -500, 500)
+        body += channel + b"uV".ljust(16, b"\0") + b"\0" * 20
+    # A packet of length 0 reaches to the end of the file.
+    (tmp_path / "z.ns5").write_bytes(body + struct.pack("<BII", 1, 800, 0) + x.tobytes())
+    head = nsx.read_header(str(tmp_path / "z.ns5"))
+    assert (head.version, head.nip_start, head.packet_start, head.n_samples, head.period, head.scale) == ("2.3", 777, 800, 12, 1, 0.5)
+    got = load(spark, tmp_path).orderBy("chan").collect()
+    assert [(r.t0, r.label, r.samples) for r in got] == [(800, f"elec{c}", (x[:, c] * 0.5).tolist()) for c in range(2)]
 
 
 def test_nsx_old_header(tmp_path):

@@ -48,7 +48,8 @@ class Header:
     version: str
     period: int
     channel_count: int
-    nip_start: int
+    nip_start: int  # of the recording, by the header; clock offsets count from it
+    packet_start: int  # of the packet whose samples are read
     channels: tuple[tuple[int, str, int, int, int, int], ...]  # id, label, digital and analog bounds
     data_start: int
     n_samples: int
@@ -73,10 +74,10 @@ def read_header(path: str) -> Header:
             ids = struct.unpack(f"<{count}I", f.read(4 * count))
             channels = tuple((i, str(i), -32768, 32767, -32768, 32767) for i in ids)
             start = f.tell()
-            return Header("2.1", period, count, 0, channels, start, (size - start) // (2 * count), False)
+            return Header("2.1", period, count, 0, 0, channels, start, (size - start) // (2 * count), False)
         major, minor, length = struct.unpack("<BBI", f.read(6))
-        f.read(16 + 256)
-        period, _, *_, count = struct.unpack("<II8HI", f.read(28))
+        f.read(16 + 252)
+        begun, period, _, *_, count = struct.unpack("<III8HI", f.read(32))
         channels = []
         for _ in range(count):
             raw = f.read(_CHANNEL)
@@ -90,25 +91,28 @@ def read_header(path: str) -> Header:
             mark, t0, n = struct.unpack("<BII", f.read(_PACKET))
             if mark != 1:
                 raise ValueError(f"{path}: no packet mark at byte {f.tell() - _PACKET}")
-            whole = min(n, (size - f.tell()) // (2 * count))
-            packets.append((t0, whole, f.tell()))
+            # A length of zero, like one beyond the file, means up to its end.
+            room = (size - f.tell()) // (2 * count) if count else 0
+            packets.append((t0, min(n, room) if n else room, f.tell()))
+            if not n or n > room:
+                break
             f.seek(f.tell() + 2 * count * n)
         if not packets:
             packets = [(0, 0, size)]
         chosen = packets[-1] if len(packets) > 1 and packets[0][1] == 1 else packets[0]
-        return Header(f"{major}.{minor}", period, count, chosen[0], tuple(channels), chosen[2], chosen[1], len(packets) > 1)
+        return Header(f"{major}.{minor}", period, count, begun, chosen[0], tuple(channels), chosen[2], chosen[1], len(packets) > 1)
 
 
-def write(path: str, samples: np.ndarray, period: int = 1, nip_start: int = 0, labels: list[str] | None = None, bounds: tuple[int, int, int, int] = (-32768, 32767, -8192, 8191)) -> None:
+def write(path: str, samples: np.ndarray, period: int = 1, nip_start: int = 0, labels: list[str] | None = None, bounds: tuple[int, int, int, int] = (-32768, 32767, -8192, 8191), packet_start: int | None = None) -> None:
     """A file with one packet of int16 ``samples`` [sample, channel]."""
     n, count = samples.shape
     labels = labels or [f"chan{i + 1}" for i in range(count)]
     with open(path, "wb") as f:
-        f.write(b"NEURALCD" + struct.pack("<BBI", 2, 2, _BASIC + _CHANNEL * count) + b"\0" * 272)
-        f.write(struct.pack("<II8HI", period, 30000, *[0] * 8, count))
+        f.write(b"NEURALCD" + struct.pack("<BBI", 2, 2, _BASIC + _CHANNEL * count) + b"\0" * 268)
+        f.write(struct.pack("<III8HI", nip_start, period, 30000, *[0] * 8, count))
         for i, label in enumerate(labels):
             f.write((b"CC" + struct.pack("<H", i + 1) + label.encode("latin-1")[:16].ljust(16, b"\0") + b"\0\0" + struct.pack("<4h", *bounds)).ljust(_CHANNEL, b"\0"))
-        f.write(struct.pack("<BII", 1, nip_start, n) + np.ascontiguousarray(samples, "<i2").tobytes())
+        f.write(struct.pack("<BII", 1, nip_start if packet_start is None else packet_start, n) + np.ascontiguousarray(samples, "<i2").tobytes())
 
 
 def write_range(source: str, target: str, start: int, stop: int) -> None:
@@ -119,7 +123,7 @@ def write_range(source: str, target: str, start: int, stop: int) -> None:
         prefix = f.read(head.data_start)
         if head.version != "2.1":
             prefix = prefix[:-_PACKET] if not head.pauses else prefix[: _BASIC + _CHANNEL * head.channel_count]
-            prefix += struct.pack("<BII", 1, head.nip_start + (start - 1) * head.period, stop - start + 1)
+            prefix += struct.pack("<BII", 1, head.packet_start + (start - 1) * head.period, stop - start + 1)
         g.write(prefix)
         f.seek(head.data_start + (start - 1) * 2 * head.channel_count)
         g.write(f.read((stop - start + 1) * 2 * head.channel_count))
@@ -191,7 +195,7 @@ class _Reader(DataSourceReader):
                 for c in partition.chans:
                     label = head.channels[c][1] if head.channels else ""
                     values = (block[:, c].astype(np.float32) * np.float32(head.scale)).tolist()
-                    yield partition.path, partition.range_id, chunk, head.nip_start + (at - 1) * head.period, c, label, values
+                    yield partition.path, partition.range_id, chunk, head.packet_start + (at - 1) * head.period, c, label, values
                 at = stop + 1
 
 
