@@ -86,3 +86,33 @@ def test_trailing_and_smoothing():
     assert k.trailing(np.array([1.0, 2, 3]), 2, 4).tolist() == [0, 0, 1, 2]
     x = np.arange(30.0) ** 2
     assert np.allclose(k.savitzky_golay(x), x)
+
+
+def test_blocks_of_the_filter_equal_a_plain_loop():
+    rng = np.random.default_rng(5)
+    for n in (1, 7, 128, 129, 1000):
+        x = rng.normal(size=n)
+        for b, a in (k.HIGH_PASS, k.BAND_PASS, (np.array([1.0, 2.0]), np.array([2.0, 0.5])), (np.array([3.0]), np.array([1.5]))):
+            pb, pa = k._padded(b, a)
+            z, out = np.zeros(len(pb)), []
+            for v in x:
+                y = pb[0] * v + z[0]
+                for j in range(1, len(pb)):
+                    z[j - 1] = pb[j] * v + z[j] - pa[j] * y
+                out.append(y)
+            got, state = k.iir(b, a, x)
+            assert np.allclose(got, out, atol=1e-9) and np.allclose(state, z[: len(pb) - 1], atol=1e-9)
+            half, kept = k.iir(b, a, x[: n // 2])
+            rest, _ = k.iir(b, a, x[n // 2 :], kept)
+            assert np.allclose(np.r_[half, rest], out, atol=1e-9)
+            assert np.allclose(k.iir(b, a, x[::-1], reverse=True)[0][::-1], out, atol=1e-9)
+
+
+def test_chunks_and_ring():
+    assert k.chunks(np.array([1, 5, 20]), 12, cap=6) == [(0, 4), (12, 12)]
+    assert k.chunks(np.array([1, 5, 14]), 100, cap=6) == [(0, 4), (7, 13)]
+    got = k.ring_magnitudes(np.array([1.0, -2, 3, -4, 5]), np.array([1, 3, 6]), cells=4, cap=10)
+    assert np.allclose(got, [3 / 4, (3 + 4 + 5 + 1) / 4])
+    many = k.dwt_energies(np.arange(40.0), np.array([1, 17, 40]), 16, np.zeros(2), "db4", stack=2)
+    one = [k.dwt_energy(k.trailing(np.arange(40.0), e, 16), np.zeros(2), "db4") for e in (1, 17, 40)]
+    assert np.allclose(many, one)

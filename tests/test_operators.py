@@ -22,12 +22,12 @@ def test_nearest_ties_and_range(spark):
     assert {r.ts: r.idx for r in align.left_rank(events.where("job = 1"), frames, "job", "ts", "frame").collect()} == {-1: 0, 0: 0, 5: 1, 16: 2, 20: 2, 21: 3}
 
 
-@pytest.mark.parametrize("step", [None, 7])
+@pytest.mark.parametrize("step", [3, 7, 100])
 def test_intervals_share_their_ends(spark, step):
     frames = spark.createDataFrame([(1, t) for t in range(0, 31, 5)], "job long, t long")
     trials_ = spark.createDataFrame([(1, 1, 5, 10), (1, 2, 10, 20)], "job long, trial long, a long, b long")
     assert rows(align.in_intervals(frames, trials_, "job", "t", "a", "b", step), "t", "trial") == [(5, 1), (10, 1), (10, 2), (15, 2), (20, 2)]
-    assert rows(align.outside_intervals(frames, trials_, "job", "t", "a", "b", step), "t") == [(0,), (25,), (30,)]
+    assert rows(align.outside_intervals(frames, trials_, "job", "t", "a", "b"), "t") == [(0,), (25,), (30,)]
 
 
 def test_expand_and_clock(spark):
@@ -43,7 +43,8 @@ def test_islands(spark):
     found = islands.runs(df, "job", "i", F.col("x") > 0)
     assert rows(found, "start", "stop", "length") == [(2, 3, 2), (5, 5, 1), (8, 8, 1)]
     assert rows(islands.runs(df, "job", "i", F.col("x") > 5), "run") == []
-    assert rows(islands.sized_windows(found, "job", size=4, big_gap=2), "start", "stop") == [(2, 6), (8, 12)]
+    assert rows(islands.sized_windows(found, "job", size=4, big_gap=2), "start", "stop") == [(2, 5), (8, 11)]
+    assert rows(islands.edges(df, "job", "i", F.col("x") > 0), "start", "stop") == [(1, 3), (4, 5), (7, 8)]
 
 
 def test_gestures_and_split(spark):
@@ -103,20 +104,94 @@ def test_kalman_follows_a_linear_system(spark):
     assert np.abs(m.a - a).max() < 0.05 and np.abs(m.h - h).max() < 0.3
     got = np.array([r.predicted for r in decode.decode(df, "job", "t", "f", m).orderBy("t").collect()])
     assert (got[0] == 0).all() and np.corrcoef(got[50:, 0], x[50:, 0])[0, 1] > 0.9
-    third = decode.third_order(x, z)
-    f = decode.Filter(third)
-    assert np.array([f.step(v) for v in z]).shape == (n, 2) and np.allclose(third.w, third.w.T)
-
-
-def test_feature_sets(spark):
+    with pytest.raises(ValueError):
+        decode.train_decoder("none", df, "job", "t", "s", "f", 2)
+
+
+def test_third_order_decoder_against_plain_loops(spark):
+    rng = np.random.default_rng(3)
+    n, period = 60, 1 / 30
+    x = np.cumsum(rng.normal(size=(n, 2)), axis=0) / 5
+    z = np.hstack([x, x**2]) @ rng.normal(size=(4, 5)) + 0.01 * rng.normal(size=(n, 5))
+
+    def smooth(v):
+        out = np.empty(len(v))
+        for i in range(len(v)):
+            lo = min(max(i - 4, 0), len(v) - 9)
+            c = np.polyfit(np.arange(9), v[lo : lo + 9], 2)
+            out[i] = np.polyval(c, i - lo)
+        return out
+
+    state = np.zeros((n, 6))
+    for d in range(2):
+        p = smooth(x[:, d])
+        v = smooth(np.diff(p) * period)
+        state[:, 3 * d] = p
+        state[: n - 1, 3 * d + 1] = v
+        state[: n - 2, 3 * d + 2] = np.diff(v) * period
+    a = np.zeros((6, 6))
+    for i in range(6):
+        a[i, i] = 1
+        if i < 5:
+            a[i, i + 1] = period
+    for d in range(2):
+        a[3 * d + 2] = np.linalg.lstsq(state[:-1], state[1:, 3 * d + 2], rcond=None)[0]
+    x1, x2 = state[:-1].T, state[1:].T
+    w = (x2 @ x2.T - a @ (x1 @ x2.T)) / (n - 1)
+    w = (w + w.T) / 2
+    h = z.T @ state @ np.linalg.pinv(state.T @ state)
+    q = (z.T @ z - h @ (z.T @ state).T) / n
+    df = spark.createDataFrame([(1, t, x[t].tolist(), z[t].tolist()) for t in range(n)], "job long, t long, s array<double>, f array<double>").repartition(3)
+    m = decode.train_decoder("third-order", df, "job", "t", "s", "f", 2)
+    assert np.allclose(m.a, a, atol=1e-6) and np.allclose(m.w, w, atol=1e-9) and np.allclose(m.h, h, atol=1e-4) and np.allclose(m.q, q, atol=1e-6)
+    f = decode.Filter(m)
+    assert np.array([f.step(v) for v in z]).shape == (n, 2)
+
+
+def test_nearest_takes_a_long_recording(spark):
+    import time
+
+    spent = []
+    for n in (50_000, 200_000):
+        frames = spark.range(n).select(F.lit(1).alias("job"), (F.col("id") * 10).alias("frame"))
+        events = spark.range(n // 2).select(F.lit(1).alias("job"), (F.col("id") * 20 + 3).alias("ts"))
+        began = time.time()
+        found = align.nearest(events, frames, "job", "ts", "frame")
+        assert found.where("frame_ts = ts - 3").count() == n // 2
+        spent.append(time.time() - began)
+    assert spent[1] < 20 and spent[1] < 10 * max(spent[0], 1)
+
+
+def test_feature_sets_by_recording(spark):
     rng = np.random.default_rng(2)
-    df = spark.createDataFrame([(ch, i + 1, float(v)) for ch in (0, 1) for i, v in enumerate(rng.normal(size=600))], "chan int, idx long, value double")
-    p = {"frame_samples": 60, "window_samples": 120, "levels": 3, "frame": 128, "step": 3, "length": 10, "every": 6, "threshold": -2.0}
+    x = rng.normal(size=(2, 2, 400))
+    ticks = [1, 40, 90, 130, 220, 395]
+    rows_ = [(j, c, i + 1, float(x[j, c, i])) for j in range(2) for c in range(2) for i in range(400)]
+    samples = spark.createDataFrame(rows_, "job int, chan int, idx long, value double")
+    marks = spark.createDataFrame([(j, t + j) for j in range(2) for t in ticks], "job int, tick long")
+    r = registry.Recording(samples, marks, samples, marks, ["job"], params={"levels": 3, "frame": 64, "threshold": -2.0, "cap": 50})
     for name in registry.FEATURE_SETS:
-        assert registry.extract(name, df, p).count() > 0
-    assert registry.extract("MAV", df, p | {"mode": "reference"}).count() == 20
+        found = registry.extract(name, r)
+        width = 2 * (3 if name.startswith("DWT") else 1)
+        got = registry.wide(found, ["job"]).collect()
+        assert len(got) == 12 and all(len(v.features) == width for v in got), name
+    none = registry.extract("NFR", registry.Recording(samples, marks, recordings=["job"], params={"threshold": -2.0}))
+    assert none.where("frame = 6 and feature = 0").count() == 4 and none.where("frame < 6 and feature < 0").count() == 0
+    less = {(v.job, v.chan): v.feature for v in registry.extract("MAV", r).where("frame = 3").collect()}
+    bare = {(v.job, v.chan): v.feature for v in registry.extract("MAV", registry.Recording(samples, marks, recordings=["job"], params={"cap": 50})).where("frame = 3").collect()}
+    assert all(less[k] < bare[k] for k in less)
     with pytest.raises(ValueError):
-        registry.extract("none", df)
+        registry.extract("none", r)
+
+
+def test_load_cuts_training_and_baseline(spark):
+    samples = spark.range(1000).select(F.lit(0).alias("chan"), (F.col("id") + 7).alias("t"), F.col("id").cast("double").alias("value"))
+    samples = samples.unionByName(samples.withColumn("chan", F.lit(500)))
+    frame = lambda *t: spark.createDataFrame([(float(v),) for v in t], "nip_time double")
+    r = registry.load(samples, frame(100, 133.5, 160), frame(10, 20), 5)
+    got = r.samples.orderBy("idx").collect()
+    assert (got[0].idx, got[0].value, got[-1].idx) == (1, 98.0, 61) and {v.chan for v in got} == {0}
+    assert rows(r.ticks, "tick") == [(1,), (35,), (61,)] and r.baseline.count() == 11
 
 
 def test_short_channels_are_left_out(spark):

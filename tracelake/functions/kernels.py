@@ -1,7 +1,9 @@
 """Sequential numeric kernels on one channel, in numpy.
 
 These are recurrences, which no window function can express; the operators run
-them on whole channels, one group of a grouped map for each.
+them on whole channels, one group of a grouped map for each.  A channel in hand
+takes 8 bytes a sample and a few copies: about 3.5 GB an hour at 30 kHz, which
+bounds the length of a recording that one task can take.
 """
 
 from __future__ import annotations
@@ -32,27 +34,50 @@ def _padded(b: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return b.astype(float), a.astype(float)
 
 
-def iir(b: np.ndarray, a: np.ndarray, x: np.ndarray, state: np.ndarray | None = None, reverse: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def iir(b: np.ndarray, a: np.ndarray, x: np.ndarray, state: np.ndarray | None = None, reverse: bool = False, block: int = 128) -> tuple[np.ndarray, np.ndarray]:
     """Direct form II transposed: (output, final state).  With ``reverse`` the
-    signal is read from its end and the output stays in place."""
+    signal is read from its end and the output stays in place.
+
+    The signal is cut into blocks.  What a block answers to its own samples is
+    one matrix product for all blocks; only the state, as long as the order,
+    goes from block to block."""
     b, a = _padded(np.asarray(b, float), np.asarray(a, float))
     order = len(b) - 1
-    z = [0.0] * order if state is None else [float(v) for v in state]
-    bs, as_ = b.tolist(), a.tolist()
+    z = np.zeros(order) if state is None else np.asarray(state, float).copy()
     values = np.asarray(x, float)
-    values = (values[::-1] if reverse else values).tolist()
-    out = []
+    values = values[::-1] if reverse else values
     if order == 0:
-        out = [bs[0] * v for v in values]
-    for v in values if order else ():
-        y = bs[0] * v + z[0]
-        for j in range(1, order):
-            z[j - 1] = bs[j] * v + z[j] - as_[j] * y
-        z[order - 1] = bs[order] * v - as_[order] * y
-        out.append(y)
-    y = np.array(out, float)
+        y = b[0] * values
+    else:
+        step = np.zeros((order, order))
+        step[:, 0] = -a[1:]
+        step[np.arange(order - 1), np.arange(1, order)] = 1
+        drive = b[1:] - a[1:] * b[0]
+        seen = np.zeros((block, order))  # output of a state after k steps
+        pushed = np.zeros((order, block))  # state after a unit k steps ago
+        row, column = np.eye(order)[0], drive
+        for k in range(block):
+            seen[k], pushed[:, k] = row, column
+            row, column = row @ step, step @ column
+        whole = np.linalg.matrix_power(step, block)
+        impulse = np.r_[b[0], seen[: block - 1] @ drive]
+        lag = np.arange(block)[:, None] - np.arange(block)
+        own = np.where(lag >= 0, impulse[np.maximum(lag, 0)], 0.0)
+        n = len(values) // block
+        parts = values[: n * block].reshape(n, block)
+        pushes = parts @ pushed[:, ::-1].T
+        states = np.empty((n, order))
+        for i in range(n):
+            states[i] = z
+            z = whole @ z + pushes[i]
+        y = (parts @ own.T + states @ seen.T).ravel()
+        rest = values[n * block :]
+        if len(rest):
+            m = len(rest)
+            y = np.r_[y, own[:m, :m] @ rest + seen[:m] @ z]
+            z = np.linalg.matrix_power(step, m) @ z + pushed[:, :m][:, ::-1] @ rest
     y = y[::-1] if reverse else y
-    return (y.astype(np.float32) if np.asarray(x).dtype == np.float32 else y), np.array(z)
+    return (y.astype(np.float32) if np.asarray(x).dtype == np.float32 else y), z
 
 
 def filtfilt(b: np.ndarray, a: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -112,14 +137,16 @@ def first_waveform(x: np.ndarray, hits: np.ndarray, threshold: float, length: in
 
 
 def dwt(x: np.ndarray, wavelet: str) -> tuple[np.ndarray, np.ndarray]:
-    """One level (approximation, detail) with half-point symmetric ends."""
+    """One level (approximation, detail) with half-point symmetric ends, along
+    the last axis; many frames are taken at once."""
     low = WAVELETS[wavelet][::-1]
     taps = len(low)
     high = low[::-1] * np.where(np.arange(taps) % 2 == 0, -1, 1)
-    wide = np.pad(np.asarray(x, float), taps - 1, mode="symmetric")
-    n = (len(x) + taps - 1) // 2
-    take = np.arange(n) * 2 + 1
-    return np.convolve(wide, low, "valid")[take], np.convolve(wide, high, "valid")[take]
+    x = np.asarray(x, float)
+    n = (x.shape[-1] + taps - 1) // 2
+    wide = np.pad(x, [(0, 0)] * (x.ndim - 1) + [(taps - 1, taps - 1)], mode="symmetric")
+    parts = [wide[..., taps - k : taps - k + 2 * n : 2] for k in range(taps)]
+    return sum(c * p for c, p in zip(low, parts)), sum(c * p for c, p in zip(high, parts))
 
 
 def wavedec(x: np.ndarray, wavelet: str, levels: int) -> list[np.ndarray]:
@@ -140,10 +167,52 @@ def dwt_thresholds(x: np.ndarray, wavelet: str = "db4", levels: int = 10) -> np.
     return np.array(out)
 
 
-def dwt_energy(frame: np.ndarray, thresholds: np.ndarray, wavelet: str = "db4") -> np.ndarray:
-    """Sum of squares by level of the details over their threshold."""
-    details = wavedec(frame, wavelet, len(thresholds))[:-1]
-    return np.array([(d[np.abs(d) > t] ** 2).sum() for d, t in zip(details, thresholds)])
+def dwt_energy(frames: np.ndarray, thresholds: np.ndarray, wavelet: str = "db4") -> np.ndarray:
+    """Sum of squares by level of the details over their threshold, along the
+    last axis: one frame or a stack of frames."""
+    details = wavedec(frames, wavelet, len(thresholds))[:-1]
+    return np.stack([(np.where(np.abs(d) > t, d, 0.0) ** 2).sum(axis=-1) for d, t in zip(details, thresholds)], axis=-1)
+
+
+def dwt_energies(x: np.ndarray, ends: np.ndarray, length: int, thresholds: np.ndarray, wavelet: str = "db4", stack: int = 64) -> np.ndarray:
+    """``dwt_energy`` of the trailing frame at each of ``ends``, ``stack`` frames
+    at a time, zeros standing before the first sample."""
+    wide = np.r_[np.zeros(length), np.asarray(x, float)]
+    every = np.lib.stride_tricks.sliding_window_view(wide, length)
+    ends = np.asarray(ends, np.int64)
+    parts = [dwt_energy(every[ends[i : i + stack]], thresholds, wavelet) for i in range(0, len(ends), stack)]
+    return np.concatenate(parts) if parts else np.zeros((0, len(thresholds)))
+
+
+def chunks(ticks: np.ndarray, n: int, cap: int = 1110) -> list[tuple[int, int]]:
+    """Samples (from, to; zero-based, ``to`` not included) that lie before each
+    tick but the first, from the tick before it, ``cap`` at most."""
+    ticks = np.asarray(ticks, np.int64)
+    spans = zip(ticks[1:] - np.minimum(np.diff(ticks), cap), ticks[1:])
+    return [(max(0, min(int(a) - 1, n)), max(0, min(int(b) - 1, n))) for a, b in spans]
+
+
+def rates(x: np.ndarray, ticks: np.ndarray, threshold: float, width: float = 0.033, frames: int = 9, refractory: int = REFRACTORY, cap: int = 1110) -> np.ndarray:
+    """Hits a second before each tick but the first, the mean of the last
+    ``frames`` of them; a hit's refractory time goes on in the next chunk."""
+    wait, counts = 0, []
+    for a, b in chunks(ticks, len(x), cap):
+        hits, wait = spikes(x[a:b], threshold, wait, refractory)
+        counts.append(len(hits) / width)
+    total = np.cumsum(np.r_[0.0, counts])
+    at = np.arange(1, len(counts) + 1)
+    return (total[at] - total[np.maximum(at - frames, 0)]) / frames
+
+
+def ring_magnitudes(x: np.ndarray, ticks: np.ndarray, cells: int = 9, cap: int = 1110) -> np.ndarray:
+    """Mean magnitude of a ring at each tick but the first: the newest chunk comes
+    first, then the oldest left-over cells; the ring grows to the longest chunk."""
+    ring, out = np.zeros(cells), []
+    for a, b in chunks(ticks, len(x), cap):
+        part = x[a:b]
+        ring = np.r_[part, ring[: max(len(ring) - len(part), 0)]]
+        out.append(float(np.abs(ring).mean()))
+    return np.array(out)
 
 
 def trailing(x: np.ndarray, end: int, length: int) -> np.ndarray:

@@ -1,4 +1,4 @@
-"""Kalman decoding of kinematics from features.
+"""Kalman decoding of kinematics from features, by two models.
 
 Training needs sums over the frames only; they are taken in one distributed
 pass, and the small matrices are solved on the driver.  Decoding is a fold over
@@ -44,31 +44,60 @@ def train(frames: DataFrame, by: str, order: str, state: str, features: str, n_s
     return Model(a, noise, h, (zz - h @ xz) / m)
 
 
-def third_order(positions: np.ndarray, features: np.ndarray, period: float = 0.033) -> Model:
-    """Position, speed and acceleration of each degree of freedom, interleaved:
-    an integrator for the first two and least squares for the third.  The
-    derivatives are smoothed differences multiplied by the period."""
+def motion(positions: np.ndarray, period: float = 1 / 30) -> np.ndarray:
+    """Position, speed and acceleration [frame, 3 x degree of freedom], by degree
+    of freedom interleaved: smoothed positions, their smoothed differences, and
+    the differences of these, each times the period; zeros at the end."""
     n, dofs = positions.shape
     state = np.zeros((n, 3 * dofs))
     for d in range(dofs):
-        p = positions[:, d]
-        v = kernels.savitzky_golay(np.r_[np.diff(p), 0]) * period
-        acc = kernels.savitzky_golay(np.r_[np.diff(v), 0]) * period
-        state[:, 3 * d : 3 * d + 3] = np.stack([p, v, acc], axis=1)
-    x1, x2 = state[:-1].T, state[1:].T
-    free = x2 @ x1.T @ kernels.pinv(x1 @ x1.T)
-    a = np.zeros((3 * dofs, 3 * dofs))
-    for d in range(dofs):
-        i = 3 * d
-        a[i, i : i + 3] = 1, period, period**2 / 2
-        a[i + 1, i + 1 : i + 3] = 1, period
-        a[i + 2] = free[i + 2]
-    rest = x2 - a @ x1
-    w = rest @ rest.T / (n - 1)
-    x, z = state.T, features.T
-    h = z @ x.T @ kernels.pinv(x @ x.T)
-    q = (z @ z.T - h @ (z @ x.T).T) / n
-    return Model(a, (w + w.T) / 2, h, q, stride=3)
+        p = kernels.savitzky_golay(positions[:, d])
+        v = kernels.savitzky_golay(np.diff(p) * period)
+        state[:, 3 * d], state[: n - 1, 3 * d + 1], state[: n - 2, 3 * d + 2] = p, v, np.diff(v) * period
+    return state
+
+
+def motions(frames: DataFrame, by: str, order: str, state: str, period: float = 1 / 30) -> DataFrame:
+    """``frames`` with ``motion``, one recording in each group (a recording holds
+    30 frames a second); recordings of fewer than 10 frames are left out."""
+    schema = frames.select("*", F.array(F.lit(0.0)).alias("motion")).schema
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order, kind="stable")
+        if len(pdf) < 10:
+            return pdf.iloc[:0].assign(motion=pd.Series(dtype=object))
+        return pdf.assign(motion=list(motion(np.stack(pdf[state].to_numpy()).astype(float), period)))
+
+    return frames.groupBy(by).applyInPandas(run, schema)
+
+
+def train_third(frames: DataFrame, by: str, order: str, state: str, features: str, n_state: int, period: float = 1 / 30) -> Model:
+    """Third-order model: a position gains its speed, a speed its acceleration,
+    each times the period; the acceleration is the least-squares fit from the
+    whole state before.  Sums are taken in Spark, as in ``train``."""
+    n = 3 * n_state
+    moving = motions(frames.select(by, order, state, features), by, order, state, period)
+    now, _, m = gram(moving.select(F.concat("motion", F.col(features).cast("array<double>")).alias("v")), "v")
+    w = Window.partitionBy(by).orderBy(order)
+    pairs = moving.withColumn("__next", F.lead("motion").over(w)).where("__next is not null")
+    steps, _, _ = gram(pairs.select(F.concat("motion", "__next").alias("v")), "v")
+    x1x1, x1x2, x2x2 = steps[:n, :n], steps[:n, n:], steps[n:, n:]
+    a = np.eye(n) + np.diag(np.full(n - 1, period), 1)
+    a[2::3] = x1x2[:, 2::3].T @ kernels.pinv(x1x1)
+    noise = (x2x2 - a @ x1x2) / (m - 1)
+    xx, xz, zz = now[:n, :n], now[:n, n:], now[n:, n:]
+    h = xz.T @ kernels.pinv(xx)
+    return Model(a, (noise + noise.T) / 2, h, (zz - h @ xz) / m, stride=3)
+
+
+#: Ways to train a decoder by name; others can be added.
+DECODERS = {"standard": train, "third-order": train_third}
+
+
+def train_decoder(name: str, frames: DataFrame, by: str, order: str, state: str, features: str, n_state: int) -> Model:
+    if name not in DECODERS:
+        raise ValueError(f"unknown decoder {name}; there are {', '.join(sorted(DECODERS))}")
+    return DECODERS[name](frames, by, order, state, features, n_state)
 
 
 class Filter:

@@ -129,16 +129,9 @@ def dwt_energies(df: DataFrame, by: str, order: str, value: str, limits: DataFra
     types = dict(df.dtypes)
 
     def run(key: tuple, rows: pd.DataFrame, limit: pd.DataFrame) -> pd.DataFrame:
-        columns = {by: pd.Series(dtype="object"), "frame": [], "level": [], "energy": []}
-        if rows.empty or limit.empty:
-            return pd.DataFrame(columns)
+        t = np.asarray(limit["thresholds"].iloc[0], float) if len(limit) else np.zeros(0)
         x = rows.sort_values(order)[value].to_numpy(float)
-        t = np.asarray(limit["thresholds"].iloc[0], float)
-        out = []
-        for i, end in enumerate(range(1, len(x) + 1, step)):
-            e = kernels.dwt_energy(kernels.trailing(x, end, frame), t, wavelet)
-            out += [(key[0], i + 1, level, v) for level, v in enumerate(e, 1)]
-        return pd.DataFrame(out, columns=list(columns))
+        return by_level([by], key, kernels.dwt_energies(x, np.arange(1, len(x) + 1, step), frame, t, wavelet) if len(t) else np.zeros((0, 0)), "energy")
 
     return (
         df.select(by, order, value).groupBy(by).cogroup(limits.groupBy(by))
@@ -146,6 +139,13 @@ def dwt_energies(df: DataFrame, by: str, order: str, value: str, limits: DataFra
     )
 
 
+def by_level(names: Sequence[str], key: Sequence, table: np.ndarray, out: str) -> pd.DataFrame:
+    """Rows (key, frame, level, value) of a table [frame, level], from 1."""
+    n, levels = table.shape
+    frame, level = np.meshgrid(np.arange(1, n + 1, dtype=np.int32), np.arange(1, levels + 1, dtype=np.int32), indexing="ij")
+    return pd.DataFrame({**{c: pd.Series([k] * table.size, dtype=object if not table.size else None) for c, k in zip(names, key)}, "frame": frame.ravel(), "level": level.ravel(), out: table.ravel()})
+
+
 def dwt_limits(df: DataFrame, by: str, order: str, value: str, levels: int = 10, wavelet: str = "db4") -> DataFrame:
     types = dict(df.dtypes)
 

@@ -17,13 +17,19 @@ from pyspark.sql import functions as F
 from tracelake.functions.columns import safe_corr
 
 
-def moments(df: DataFrame, vector: str, by: Sequence[str] = ()) -> DataFrame:
-    """by, i, j, n, sums and product sums of a vector column (i, j from 0)."""
+def packed_moments(df: DataFrame, vector: str, by: Sequence[str] = ()) -> DataFrame:
+    """by, i, row: line i of the product sums of (1, vector).  Each task sends one
+    packed line for each component, and the lines are added up by number, so
+    neither a task nor the driver holds more than one matrix."""
     types = dict(df.dtypes)
     keys = list(by)
+    schema = ", ".join([*(f"{k} {types[k]}" for k in keys), "i int, row array<double>"])
+
+    def lines(key: tuple, m: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({**{k: [v] * len(m) for k, v in zip(keys, key)}, "i": np.arange(len(m), dtype=np.int32), "row": list(m)})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[tuple, list] = {}
+        held: dict[tuple, np.ndarray] = {}
         for pdf in batches:
             groups = pdf.groupby(keys, sort=False).indices.items() if keys else [((), np.arange(len(pdf)))]
             for key, at in groups:
@@ -36,13 +42,29 @@ def moments(df: DataFrame, vector: str, by: Sequence[str] = ()) -> DataFrame:
                 key = key if isinstance(key, tuple) else (key,)
                 held[key] = held.get(key, 0) + one.T @ one
         for key, m in held.items():
-            i, j = np.meshgrid(*(np.arange(len(m) - 1),) * 2, indexing="ij")
-            i, j = i.ravel(), j.ravel()
-            yield pd.DataFrame({**{k: [v] * len(i) for k, v in zip(keys, key)}, "i": i, "j": j, "n": m[0, 0], "si": m[0, i + 1], "sj": m[0, j + 1], "sij": m[i + 1, j + 1]})
+            yield lines(key, m)
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[tuple, np.ndarray] = {}
+        for pdf in batches:
+            for key, row in zip(zip(*(pdf[k] for k in [*keys, "i"])), pdf["row"]):
+                sums[key] = sums.get(key, 0) + np.asarray(row, float)
+        if sums:
+            yield pd.DataFrame([(*key, row) for key, row in sums.items()], columns=[*keys, "i", "row"])
 
-    schema = ", ".join([*(f"{k} {types[k]}" for k in keys), "i long, j long, n double, si double, sj double, sij double"])
     parts = df.select(*keys, vector).mapInPandas(run, schema)
-    return parts.groupBy(*keys, "i", "j").agg(*(F.sum(c).alias(c) for c in ("n", "si", "sj", "sij")))
+    return parts.repartition(*keys, "i").mapInPandas(add, schema)
+
+
+def moments(df: DataFrame, vector: str, by: Sequence[str] = ()) -> DataFrame:
+    """by, i, j, n, sums and product sums of a vector column (i, j from 0)."""
+    keys = list(by)
+    lines = packed_moments(df, vector, by)
+    head = lines.where("i = 0").select(*keys, F.col("row").alias("head"))
+    rows = lines.where("i > 0")
+    joined = rows.join(head, keys) if keys else rows.crossJoin(F.broadcast(head))
+    cells = joined.select(*keys, (F.col("i") - 1).cast("long").alias("i"), "head", F.col("row")[0].alias("si"), F.posexplode(F.slice("row", 2, F.size("row") - 1)).alias("j", "sij"))
+    return cells.select(*keys, "i", F.col("j").cast("long").alias("j"), F.col("head")[0].alias("n"), "si", F.get("head", F.col("j") + 1).alias("sj"), "sij")
 
 
 def correlations(df: DataFrame, vector: str, by: Sequence[str] = ()) -> DataFrame:

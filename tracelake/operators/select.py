@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelake.functions.columns import safe_corr
-from tracelake.operators.metrics import moments
+from tracelake.operators.metrics import packed_moments
 
 
 def sign_split(df: DataFrame, keys: Sequence[str], dof: str, value: str) -> DataFrame:
@@ -40,13 +40,13 @@ def channel_correlations(samples: DataFrame, dof: Sequence[str], channel: str, p
 def gram(df: DataFrame, vector: str) -> tuple[np.ndarray, np.ndarray, float]:
     """(product sums, sums, n) of a vector column; as large as the vector is
     wide, whatever the number of rows."""
-    rows = moments(df, vector).collect()
-    size = max(r.i for r in rows) + 1
-    products, sums = np.zeros((size, size)), np.zeros(size)
-    for r in rows:
-        products[r.i, r.j] = r.sij
-        sums[r.i] = r.si
-    return products, sums, rows[0].n
+    lines = packed_moments(df, vector).collect()
+    if not lines:
+        raise ValueError("no rows to sum up")
+    m = np.zeros((len(lines), len(lines)))
+    for line in lines:
+        m[line.i] = line.row
+    return m[1:, 1:], m[0, 1:], float(m[0, 0])
 
 
 def gram_schmidt(df: DataFrame, vector: str, n_targets: int, most: int = 48, threshold: float = 0.3) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tracelake.functions import kernels
 from tracelake.operators import framing
+from tracelake.plans import sqltext
 from tracelake.plans.base import micros, query, r6, table
 
 _SAMPLES = "s AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS idx FROM events)"
@@ -66,13 +67,17 @@ def iir_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("user_id", "event_id", *r6("filtered"))
 
 
-@query()
+_ROWS = "s AS (SELECT user_id AS chan, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS idx FROM events)"
+
+
+@query(f"WITH RECURSIVE {_ROWS}, {sqltext.filtfilt('f', 's', *kernels.HIGH_PASS)} SELECT chan AS user_id, event_id, round(f.value, 6) AS filtered FROM f JOIN s USING (chan, idx)")
 def filtfilt_high_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = framing.filtered(_events(spark, sf_dir), "user_id", "event_id", "value", *kernels.HIGH_PASS, True)
     return rows.select("user_id", "event_id", *r6("filtered"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_ROWS}, {sqltext.filtfilt('f', 's', *kernels.BAND_PASS)}
+SELECT chan AS user_id, event_id, round(sum(abs(f.value)) OVER (PARTITION BY chan ORDER BY event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) / 10, 6) AS power FROM f JOIN s USING (chan, idx)""")
 def filtfilt_band_power(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = framing.filtered(_events(spark, sf_dir), "user_id", "event_id", "value", *kernels.BAND_PASS, True)
     return framing.trailing_mean_abs(rows, "user_id", ["event_id"], "filtered", 10, "power").select("user_id", "event_id", *r6("power"))
@@ -93,7 +98,14 @@ def dwt_energy_db1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("energy", F.round("energy", 6))
 
 
-@query()
+_LISTS = "lists AS (SELECT user_id, list(value ORDER BY event_id) AS x FROM events GROUP BY user_id)"
+
+
+@query(f"""WITH {_SAMPLES}, {_LISTS}, {sqltext.wavelet_limits('lim', 'lists', 'user_id', 'db4', 3)},
+e AS (SELECT user_id, idx AS frame_end FROM s WHERE (idx - 1) % 16 = 0),
+frames AS (SELECT e.user_id, (e.frame_end - 1) // 16 + 1 AS frame, list(coalesce(s.value, 0) ORDER BY g.k) AS x FROM e CROSS JOIN generate_series(0, 31) g(k) LEFT JOIN s ON s.user_id = e.user_id AND s.idx = e.frame_end - 31 + g.k GROUP BY ALL),
+{sqltext.wavelet_levels('w', 'frames', 'user_id, frame', 'db4', 3)}
+SELECT user_id, frame::INT AS frame, level::INT AS level, round(energy, 6) AS energy FROM ({sqltext.energies('w', 'lim', 'user_id, frame', 'user_id', 3)})""")
 def dwt_energy_db4(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = _events(spark, sf_dir)
     limits = framing.dwt_limits(events, "user_id", "event_id", "value", levels=3)
@@ -101,7 +113,7 @@ def dwt_energy_db4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("energy", F.round("energy", 6))
 
 
-@query()
+@query(f"WITH {_LISTS}, {sqltext.wavelet_limits('lim', 'lists', 'user_id', 'db4', 3)} SELECT user_id, level::INT AS level, round(threshold, 6) AS threshold FROM lim")
 def dwt_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = framing.dwt_limits(_events(spark, sf_dir), "user_id", "event_id", "value", levels=3)
     return rows.select("user_id", F.posexplode("thresholds").alias("level", "threshold")).select("user_id", (F.col("level") + 1).alias("level"), *r6("threshold"))
@@ -118,8 +130,8 @@ def std_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH t AS (SELECT user_id, event_id, (ceil((epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY user_id)) / 1000000.0) + 1)::BIGINT AS tick FROM events)
-SELECT user_id, event_id, tick, least(coalesce(lead(tick) OVER (PARTITION BY user_id ORDER BY event_id) - tick, 0), 111000) AS step FROM t""")
+SELECT user_id, event_id, tick, least(coalesce(lead(tick) OVER (PARTITION BY user_id ORDER BY event_id) - tick, 0), 1110) AS step FROM t""")
 def tick_diff_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = micros(table(spark, sf_dir, "events"))
-    rows = framing.tick_steps(events, "user_id", F.col("us") / 1000000.0, ["event_id"], 111000)
+    rows = framing.tick_steps(events, "user_id", F.col("us") / 1000000.0, ["event_id"])
     return rows.select("user_id", "event_id", "tick", "step")

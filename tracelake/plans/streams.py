@@ -1,11 +1,11 @@
-"""Streaming queries over the events file, and the feature sets by name."""
+"""Streaming queries over the events file."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.operators import decode, registry
+from tracelake.operators import decode
 from tracelake.plans.base import query, r6, table
 from tracelake.plans.signals import _HITS
 from tracelake.streaming import stateful
@@ -42,26 +42,3 @@ def stream_kalman(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = decode.train(parts(table(spark, sf_dir, "embeddings")), "label", "vec_id", "state", "features", 8)
     rows = stateful.run_available(stateful.kalman(parts(_stream(spark, sf_dir, "embeddings")), "label", "vec_id", "features", model))
     return rows.select("label", "vec_id", F.transform("predicted", lambda p: F.round(p, 6)).alias("predicted"))
-
-
-def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    events = table(spark, sf_dir, "events")
-    idx = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).cast("long")
-    return events.select(F.col("user_id").alias("chan"), idx.alias("idx"), "value")
-
-
-_SMALL = {"frame_samples": 8, "threshold": -1.0, "window_samples": 24, "step": 3, "length": 10, "every": 4, "levels": 2, "frame": 16}
-
-
-def _features(name: str):
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return registry.extract(name, _samples(spark, sf_dir), _SMALL).withColumn("feature", F.round("feature", 6))
-
-    run.__name__ = "features_" + name.lower().replace("-", "_")
-    return run
-
-
-for _name in registry.FEATURE_SETS:
-    query()(_features(_name))
