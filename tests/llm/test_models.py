@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracelake.llm import html_extract
-from tracelake.llm.ann import ann, probe_sets
+from tracelake.llm.ann import Setting, ann, choose, probe_sets
 from tracelake.llm.boosting import fit, threshold_at
 from tracelake.llm.embedding_dedup import descend, embedding_dedup
 from tracelake.llm.toxicity import CUT, toxicity, with_toxicity
@@ -120,14 +120,6 @@ def test_descent_finds_the_nearest():
     assert np.mean([len(set(a) & set(b)) / 12 for a, b in zip(true, found)]) > 0.95
 
 
-def test_probe_sets_come_in_order():
-    gaps = np.array([[0.1, 0.9], [0.4, 0.6]])
-    sets = probe_sets(gaps, 20)
-    cost = [sum((gaps[i][0 if s < 0 else 1]) ** 2 for i, s in steps) for steps in sets]
-    assert sets[0] == [] and cost == sorted(cost) and len({tuple(sorted(s)) for s in sets}) == len(sets) == 9
-    assert probe_sets(np.zeros((0, 2)), 5) == [[]]
-
-
 def brute(rows, queries, k):
     good = [(i, np.asarray(v, float)) for i, v, _ in rows if v is not None and i is not None and not any(x is None or not np.isfinite(x) for x in v) and any(v)]
     out = {}
@@ -143,19 +135,27 @@ def brute(rows, queries, k):
     return out
 
 
-def test_ann_small_is_whole_and_ties_go_to_the_smaller(spark):
+def test_ann_of_one_cell_is_whole_and_ties_go_to_the_smaller(spark):
     rows = clustered(150, 1) + [(200 + i, [1.0] * 16, 0) for i in range(14)] + ODD + [(300, [1.0] * 8, 0)]
     df = vectors(spark, rows)
     got = {}
-    for r in ann(df, F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect():
+    for r in ann(df, F.col("vec_id") % 50 == 0, setting=Setting(0, 1.0, 1, 1)).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((r.vec_id, r.score))
     want = brute(rows, {0, 50, 100, 200, 250, 300}, 10)
     want = {q: v for q, v in want.items() if v}
+    hashed = {}
+    for r in ann(df, F.col("vec_id") % 50 == 0).collect():
+        hashed.setdefault(r.query_id, set()).add(r.vec_id)
+    assert {q: len(v) for q, v in hashed.items()} == {q: len(v) for q, v in want.items()} and recall_of(hashed, want) >= 0.8
     assert {q: [i for i, _ in v] for q, v in got.items()} == {q: [i for i, _ in v] for q, v in want.items()}
     assert all(abs(a[1] - b[1]) < 1e-12 for q in got for a, b in zip(got[q], want[q]))
     assert ann(df.where("false"), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def recall_of(got, want):
+    return np.mean([len(got.get(q, set()) & {i for i, _ in v}) / len(v) for q, v in want.items()])
+
+
 def test_ann_recall_with_many_cells_and_blocks(spark, monkeypatch):
     from tracelake.llm import ann as module
 
@@ -166,7 +166,56 @@ def test_ann_recall_with_many_cells_and_blocks(spark, monkeypatch):
     for r in ann(vectors(spark, rows), F.col("vec_id") % 60 == 0, group_rows=2000).collect():
         got.setdefault(r.query_id, set()).add(r.vec_id)
     want = brute(rows, set(range(0, 3000, 60)), 10)
-    assert np.mean([len(got[q] & {i for i, _ in v}) / 10 for q, v in want.items()]) >= 0.9
+    assert recall_of(got, want) >= 0.9
+
+
+def test_ann_in_one_cell_is_exact(spark):
+    rows = clustered(800, 5)
+    found = ann(vectors(spark, rows), F.col("vec_id") % 50 == 0, setting=Setting(0, 1.0, 1, 1), group_rows=300).orderBy("query_id", "rank").collect()
+    got = {}
+    for r in found:
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    want = brute(rows, set(range(0, 800, 50)), 10)
+    assert {q: [i for i, _ in v] for q, v in got.items()} == {q: [i for i, _ in v] for q, v in want.items() if v}
+
+
+def test_ann_with_one_common_vector(spark, monkeypatch):
+    from tracelake.llm import ann as module
+
+    monkeypatch.setattr(module, "CELL_ROWS", 30)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(900, 16)).astype(np.float32)
+    x[::3] = x[0]
+    rows = [(i, v, 0) for i, v in enumerate(x)]
+    got = {}
+    for r in ann(vectors(spark, rows), F.col("vec_id") % 30 == 0).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    for q in range(0, 900, 30):
+        # All queries hold the common vector: the least ids of it, at distance 0.
+        assert got[q] == [(i, 0.0) for i in [j for j in range(0, 900, 3) if j != q][:10]]
+
+
+def test_probes_come_in_order_and_meet_fewer_rows_as_rows_grow():
+    sets = probe_sets(6, 40)
+    assert sets[0] == () and sets[1] == (0,) and len(set(sets)) == len(sets) == 40
+    assert all(len({min(s, 11 - s) for s in steps}) == len(steps) for steps in sets)
+    rng = np.random.default_rng(6)
+    centers = rng.normal(size=(400, 32))
+    shares = []
+    for n in (2000, 20000):
+        x = centers[rng.integers(0, 400, n)] + 0.4 * rng.normal(size=(n, 32))
+        near = [x[np.argsort(((x - x[i]) ** 2).sum(1))[1:11]] for i in range(40)]
+        setting = choose(x[:40], near, x[40:1040], n)
+        met, true = np.zeros((40, n), bool), 0
+        for t in range(setting.tables):
+            cells, visits = setting.keys(x, t)[:, 0], setting.keys(x[100:140], t, setting.probes)
+            for i, v in enumerate(visits):
+                met[i] |= np.isin(cells, v)
+        for i in range(40):
+            true += met[i, np.argsort(((x - x[100 + i]) ** 2).sum(1))[1:11]].mean() / 40
+        assert true >= 0.9
+        shares.append(met.mean())
+    assert shares[1] < 0.1 and shares[1] <= shares[0]
 
 
 def test_ann_measures_queries_that_meet_few_rows(spark, monkeypatch):
