@@ -309,3 +309,32 @@ def test_boosting():
     y = ((x[:, 0] > 0) ^ (x[:, 1] > 0.5)).astype(float)
     assert ((fit(x[:1500], y[:1500]).probability(x[1500:]) > 0.5) == y[1500:]).mean() > 0.95
     assert threshold_at(np.array([0.9, 0.8, 0.7]), np.array([1, 1, 0]), 1.0) == 0.8 and threshold_at(np.array([0.9]), np.array([0]), 0.5) > 1
+
+
+def around(rng, center, cosine, n):
+    """Unit vectors at about one cosine to a unit vector."""
+    away = rng.normal(size=(n, len(center)))
+    away -= np.outer(away @ center, center)
+    return cosine * center + np.sqrt(1 - cosine**2) * away / np.linalg.norm(away, axis=1)[:, None]
+
+
+def test_embedding_dedup_of_one_label_in_many_blocks(spark):
+    """A dense group, two clumps whose members pass across, sparse pairs, and rows
+    that link with nothing: all in one label, cut into many blocks."""
+    rng = np.random.default_rng(9)
+    unit = lambda n: (lambda v: v / np.linalg.norm(v, axis=1)[:, None])(rng.normal(size=(n, 64)))
+    one, two = unit(2)
+    other = around(rng, two, 0.955, 1)[0]
+    pairs = unit(60)
+    x = np.concatenate([around(rng, one, 0.99, 300), around(rng, two, 0.99, 40), around(rng, other, 0.99, 40), pairs, np.concatenate([around(rng, p, 0.935, 1) for p in pairs]), unit(400)])
+    x = x[rng.permutation(len(x))].astype(np.float32)
+    wide = x.astype(float)
+    near = wide @ wide.T / np.outer(np.linalg.norm(wide, axis=1), np.linalg.norm(wide, axis=1)) >= 0.93
+    np.fill_diagonal(near, False)
+    want = near.sum(axis=1)
+    for block_rows in (200, 16384):
+        got = {r.vec_id: r for r in embedding_dedup(vectors(spark, [(i, v, 0) for i, v in enumerate(x)]), block_rows=block_rows).collect()}
+        count = np.array([got[i].n_links for i in range(len(x))])
+        assert (count <= want).all() and count.sum() >= 0.99 * want.sum() and (count == want).mean() >= 0.99
+        linked = [(i, j) for i, j in zip(*np.nonzero(near))]
+        assert np.mean([got[i].component_id == got[j].component_id for i, j in linked]) >= 0.99

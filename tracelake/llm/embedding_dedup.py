@@ -1,20 +1,28 @@
-"""Embedding near-dedup: all pairs of a label, in blocks of bounded size.
+"""Embedding near-dedup by NN-descent in blocks of bounded size.
 
 Vectors are compared within their label by cosine.  Equal vectors of a label
 are combined to one class first.  Classes are laid out in blocks of bounded
 size: a label that fits is one block; a larger one is cut into parts, and each
 two parts, and each part by itself, are a block.  In a block
 
-1. all pairs are measured in tiles, in single precision;
-2. pairs near the threshold are measured again in double precision;
-3. each linked class gives one row, its number of links and the least vertex of
+1. a graph of nearest neighbours is set out from random trees and refined by
+   joining the neighbours of each vertex with each other (NN-descent);
+2. a vertex whose list is full of links is saturated; its list is enlarged to the
+   whole block, in tiles;
+3. an audit measures vertices drawn at random against the whole block, until
+   ``AUDIT_LINKS`` links are met or all vertices are drawn, and what it meets is
+   kept.  If the lists lacked any of these links, all vertices of the block are
+   measured;
+4. pairs near the threshold are measured again in double precision;
+5. each linked class gives one row, its number of links and the least vertex of
    its component in the block, however dense a group is; links are not returned.
 
-Counts are summed over blocks, and components are joined over all of them.  No
-pair is left out, so there is nothing to audit; what that costs grows as the
-square of the distinct vectors of a label.  ``descend`` is NN-descent, by which
-the pairs were sought before; it is slower than the tiles in a block of any size
-up to ``BLOCK_ROWS``, it misses pairs, and nothing here calls it.
+Counts are summed over blocks, and components are joined over all of them.
+Where links are few the audit draws all vertices, so no rare pair is lost; where
+they are many, a loss of one in fifty passes the audit once in 170 blocks.
+Each two vectors of a label share a block, so the
+number of blocks grows as the square of the vectors of a label over
+``block_rows``.
 
 Defined results: vectors that are null, zero or hold null or non-finite
 components, and vectors with a null label, link with nothing; vectors of
@@ -37,6 +45,7 @@ THRESHOLD = 0.93
 NEIGHBOURS = 12
 BLOCK_ROWS = 16384
 TILE_ROWS = 256
+AUDIT_LINKS = 256
 _NEAR = 1e-4
 
 
@@ -159,6 +168,85 @@ def _groups(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = low
 
 
+class _Links:
+    """Links of one block: how many each vertex has, and its group."""
+
+    def __init__(self, exact: np.ndarray, weight: np.ndarray, side: np.ndarray, within: bool, threshold: float) -> None:
+        n = len(exact)
+        self.exact, self.weight, self.side, self.within, self.threshold = exact, weight, side, within, threshold
+        self.length = np.sqrt((exact * exact).sum(axis=1))
+        self.x = (exact / self.length[:, None]).astype(np.float32)
+        self.count, self.group = np.zeros(n), np.arange(n)
+
+    def pass_(self, i: np.ndarray, j: np.ndarray, sims: np.ndarray) -> np.ndarray:
+        """Which candidate pairs are links."""
+        keep = (i != j) if self.within else self.side[i] != self.side[j]
+        close = np.flatnonzero(keep & (sims < self.threshold + _NEAR))
+        for lo in range(0, len(close), 1 << 16):
+            c = close[lo : lo + (1 << 16)]
+            cosine = np.einsum("nd,nd->n", self.exact[i[c]], self.exact[j[c]]) / (self.length[i[c]] * self.length[j[c]])
+            keep[c] = cosine >= self.threshold
+        return keep
+
+    def of(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All links of some vertices, measured against the whole block."""
+        sims = self.x[rows] @ self.x.T
+        i, j = np.nonzero(sims >= self.threshold - _NEAR)
+        near = sims[i, j]
+        i = rows[i]
+        keep = self.pass_(i, j, near)
+        return i[keep], j[keep]
+
+    def add(self, i: np.ndarray, j: np.ndarray, both: np.ndarray) -> None:
+        """Counts links for i, and for j where ``both``, and joins their groups."""
+        n = len(self.count)
+        self.count += np.bincount(i, self.weight[j], n) + np.bincount(j[both], self.weight[i[both]], n)
+        apart = self.group[i] != self.group[j]
+        if apart.any():
+            self.group = _groups(n, np.r_[np.arange(n), i[apart]], np.r_[self.group, j[apart]])
+
+
+def _search(links: _Links, seed: int = 0) -> None:
+    """NN-descent over a block, saturated lists enlarged, and the audit."""
+    n = len(links.x)
+    graph = descend(links.x, NEIGHBOURS, seed=seed)
+    if graph.k < 1:
+        return
+    least = links.threshold - _NEAR
+    measured = graph.sims[:, -1] >= least
+    if graph.k == n - 1:
+        measured[:] = False  # the lists are whole
+    a, b = np.repeat(np.arange(n), graph.k), graph.ids.ravel()
+    near = (b >= 0) & (graph.sims.ravel() >= least)
+    a, b, sims = a[near], b[near], graph.sims.ravel()[near]
+    pairs, first = np.unique(np.minimum(a, b) * n + np.maximum(a, b), return_index=True)
+    keep = links.pass_(pairs // n, pairs % n, sims[first])
+    pairs = pairs[keep]
+
+    rng = np.random.default_rng(seed + 1)
+    order = rng.permutation(np.flatnonzero(~measured))
+    seen, lost = 0, False
+    for lo in range(0, len(order) if graph.k < n - 1 else 0, TILE_ROWS):
+        drawn = order[lo : lo + TILE_ROWS]
+        i, j = links.of(drawn)
+        known = np.isin(np.minimum(i, j) * n + np.maximum(i, j), pairs)
+        measured[drawn] = True
+        lost |= not known.all()
+        seen += len(i)
+        if lost or seen >= AUDIT_LINKS:
+            break
+    if lost:
+        measured[:] = True
+
+    rows = np.flatnonzero(measured)
+    for lo in range(0, len(rows), TILE_ROWS):
+        i, j = links.of(rows[lo : lo + TILE_ROWS])
+        links.add(i, j, ~measured[j])
+    i, j = pairs // n, pairs % n
+    rest = ~measured[i] & ~measured[j]
+    links.add(i[rest], j[rest], np.ones(rest.sum(), bool))
+
+
 def _block(threshold: float):
     """Links of a block of two parts p < q, those across, or of one part p = q,
     those within: each linked class gives one row, its number of links (n, copies
@@ -171,36 +259,11 @@ def _block(threshold: float):
         width = np.array([len(v) for v in vectors])
         for own in (np.flatnonzero(width == w) for w in np.unique(width)):
             own = own[np.argsort(ids[own], kind="stable")]
-            exact = matrix([vectors[i] for i in own])
-            length = np.sqrt((exact * exact).sum(axis=1))
-            x = (exact / length[:, None]).astype(np.float32)
-            weight, links, group = copies[own].astype(float), np.zeros(len(own)), np.arange(len(own))
-            rows = np.flatnonzero(part[own] == pdf["p"].iloc[0])
-            columns = rows if within else np.flatnonzero(part[own] != pdf["p"].iloc[0])
-            y = x[columns]
-            for at in range(0, len(rows), TILE_ROWS):
-                own_rows = rows[at : at + TILE_ROWS]
-                first = at if within else 0
-                sims = x[own_rows] @ y[first:].T
-                i, j = np.nonzero(sims >= threshold - _NEAR)
-                if within:
-                    i, j = i[i < j], j[i < j]
-                close = np.flatnonzero(sims[i, j] < threshold + _NEAR)
-                i, j = own_rows[i], columns[first + j]
-                keep = np.ones(len(i), bool)
-                for lo in range(0, len(close), 1 << 16):
-                    c = close[lo : lo + (1 << 16)]
-                    cosine = np.einsum("nd,nd->n", exact[i[c]], exact[j[c]]) / (length[i[c]] * length[j[c]])
-                    keep[c] = cosine >= threshold
-                i, j = i[keep], j[keep]
-                links += np.bincount(i, weight[j], len(own)) + np.bincount(j, weight[i], len(own))
-                apart = group[i] != group[j]
-                if apart.any():
-                    all_ = np.arange(len(own))
-                    group = _groups(len(own), np.r_[all_, i[apart]], np.r_[group, j[apart]])
-            linked = np.flatnonzero(links)
+            links = _Links(matrix([vectors[i] for i in own]), copies[own].astype(float), part[own], within, threshold)
+            _search(links)
+            linked = np.flatnonzero(links.count)
             # Vertices are in the order of their ids, so the least place is the least id.
-            out.append((cls[own[linked]], ids[own[linked]], ids[own[group[linked]]], links[linked].astype(np.int64)))
+            out.append((cls[own[linked]], ids[own[linked]], ids[own[links.group[linked]]], links.count[linked].astype(np.int64)))
         return pd.DataFrame(dict(zip(("cls", "a", "b", "n"), map(np.concatenate, zip(*out)))))
 
     return run
