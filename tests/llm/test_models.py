@@ -338,3 +338,43 @@ def test_embedding_dedup_of_one_label_in_many_blocks(spark):
         assert (count <= want).all() and count.sum() >= 0.99 * want.sum() and (count == want).mean() >= 0.99
         linked = [(i, j) for i, j in zip(*np.nonzero(near))]
         assert np.mean([got[i].component_id == got[j].component_id for i, j in linked]) >= 0.99
+
+
+def test_toxicity_training_is_bounded(spark):
+    """An id repeated often and very long texts reach the driver once or not at all."""
+    from tracelake.llm import toxicity as module
+
+    assert module.within(np.array([5, 50, 4, 2]), 10).tolist() == [True, False, True, False]
+    seen = []
+    docs = spark.range(100_000).select(F.lit(1).cast("long").alias("doc_id"), F.concat(F.lit("vile words "), F.col("id")).alias("text"), F.lit("en").alias("lang"))
+    more = spark.createDataFrame([(i, ("nice " if i % 2 else "vile ") * (400_000 if i == 4 else 20), "en") for i in range(3, 60)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(1, 1)] + [(i, 1 - i % 2) for i in range(3, 60)], "doc_id long, toxic int")
+    kept = module.fit
+    module.fit = lambda texts, *rest: seen.append(texts) or kept(texts, *rest)
+    try:
+        assert module.fit_labels(docs.unionByName(more), labels, max_bytes=1_000_000) is not None
+    finally:
+        module.fit = kept
+    held = [i for i in [1, *range(3, 60)] if zlib.crc32(str(i).encode()) % 4 == 2]
+    assert len(seen[0]) <= 58 - len(held) and sum(map(len, seen[0])) <= 1_000_000 and sum(t.startswith("vile words") for t in seen[0]) <= 1
+
+
+def test_pooling_equals_a_plain_convolution():
+    from tracelake.llm import toxicity as module
+
+    rng = np.random.default_rng(3)
+    table = rng.normal(size=(module._BUCKETS + 1, module._DIM)).astype(np.float32)
+    table[module._BUCKETS] = 0
+    filters = [rng.normal(size=(w, module._DIM, module._FILTERS)).astype(np.float32) for w in module._WIDTHS]
+    bias = rng.normal(size=module._FILTERS * len(filters)).astype(np.float32)
+    model = module.Classifier(table, filters, bias, np.ones(len(bias), np.float32), 0.0)
+    texts = ["", "one", "one two", "three words here and some more of them"]
+    got = model.pooled(*module._Reader(table).lay(texts))
+    for row, text in zip(got, texts):
+        vectors = [sum(table[b] for b in module._buckets(w)) for w in text.split()] + [np.zeros(module._DIM)] * 3
+        plain = []
+        for f in filters:
+            # Windows that start at a word, and at the first blank after the last.
+            responses = [sum(vectors[min(i + k, len(vectors) - 1)] @ f[k] for k in range(len(f))) for i in range(len(text.split()) + 1)]
+            plain += np.max(responses, axis=0).tolist()
+        assert np.allclose(row, np.maximum(np.array(plain) + bias, 0), atol=1e-4)

@@ -9,8 +9,10 @@ trained by Adam.  Logits are rescaled on rows left out of training, and a
 threshold is calibrated for each language that has enough positives there; a
 language is never an input of a score.
 
-Training reads at most ``max_rows`` labelled rows (those least by a hash of
-their id); scoring reads every row.
+Training reads at most ``max_rows`` labelled documents (those least by a hash of
+their id) of at most ``max_bytes`` together, in that order; a text that no longer
+fits is left out, and of the texts of one id the least by hash is taken.  The
+driver holds no more than that.  Scoring reads every row, the whole text.
 
 Defined results: null or empty text is scored from no words (every pooled value
 is zero); without labelled rows of both classes every score is 0; of several
@@ -34,6 +36,7 @@ from pyspark.sql import functions as F
 from tracelake.llm.common import append_arrow, bounded_batches, map_arrow
 
 MAX_ROWS = 6000
+MAX_BYTES = 48 << 20
 CUT = 0.3
 _BUCKETS = 1 << 16
 _DIM = 8
@@ -62,15 +65,18 @@ class Classifier:
     scale: tuple[float, float] = (1.0, 0.0)
     thresholds: dict[str, float] = field(default_factory=dict)
 
-    def pooled(self, words: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    def pooled(self, words: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Max-pooled responses by text; ``words`` holds the word vectors of all
-        texts, with at least two zero rows after each, ``ends`` where each starts."""
+        texts, with three zero rows after each, ``starts`` where each starts."""
         parts = []
+        last = np.r_[starts[1:], len(words)]
         for width, f in zip(_WIDTHS, self.filters):
             r = words @ f[0]
             for k in range(1, width):
                 r[:-k] += words[k:] @ f[k]
-            parts.append(np.maximum.reduceat(r, ends))
+            # Windows that begin in the last two rows would reach into the next text.
+            r[last - 1] = r[last - 2] = 0
+            parts.append(np.maximum.reduceat(r, starts))
         return np.maximum(np.concatenate(parts, axis=1) + self.bias, 0)
 
     def logits(self, pooled: np.ndarray) -> np.ndarray:
@@ -239,9 +245,18 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit_labels(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Classifier | None:
+def within(sizes: np.ndarray, most: int) -> np.ndarray:
+    """Which of the sizes, taken in order, fit together into ``most``."""
+    taken, room = np.zeros(len(sizes), bool), most
+    for i, size in enumerate(sizes):
+        if size <= room:
+            taken[i], room = True, room - size
+    return taken
+
+
+def fit_labels(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> Classifier | None:
     """Fit on at most ``max_rows`` rows of ``labels`` (doc_id, toxic) that are
-    not held out; a fifth of them calibrates."""
+    not held out, and ``max_bytes`` of text; a fifth of them calibrates."""
     mark = F.xxhash64("doc_id")
     chosen = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
@@ -252,8 +267,20 @@ def fit_labels(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) ->
     )
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), "lang")
     # At most max_rows ids, so the broadcast is bounded.
-    rows = docs.join(F.broadcast(chosen), "doc_id").select("text", "lang", "toxic", (F.pmod(mark, F.lit(5)) == 0).alias("out"), mark.alias("m"))
-    rows = rows.toPandas().sort_values(["m", "text"]).drop_duplicates(["m", "text"])
+    joined = docs.join(F.broadcast(chosen), "doc_id").withColumn("digest", F.xxhash64("text", "lang"))
+    # Ids and digests alone are compared; then the texts that fit are fetched.
+    least = joined.groupBy("doc_id").agg(F.min_by(F.octet_length("text"), F.col("digest")).alias("size"), F.min("digest").alias("digest"))
+    plan = least.toPandas()
+    plan["place"] = plan["doc_id"].map({i: n for n, i in enumerate(r.doc_id for r in chosen.select("doc_id").collect())})
+    plan = plan.sort_values("place")
+    plan = plan[within(plan["size"].to_numpy(), max_bytes)]
+    if plan.empty:
+        return None
+    wanted = docs.sparkSession.createDataFrame(list(zip(plan["doc_id"].tolist(), plan["digest"].tolist())), "doc_id long, digest long")
+    rows = (
+        joined.join(F.broadcast(wanted), ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id"])
+        .select("text", "lang", "toxic", (F.pmod(mark, F.lit(5)) == 0).alias("out"), mark.alias("m")).toPandas().sort_values(["m", "text"])
+    )
     return fit(rows["text"].tolist(), rows["toxic"].to_numpy(), rows["lang"].tolist(), rows["out"].to_numpy(bool))
 
 
