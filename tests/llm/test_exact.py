@@ -10,6 +10,7 @@ import public_tokenizers
 import pytest
 import xxhash
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from tracelake.llm import mixing, pii
 from tracelake.llm.bpe import WordBPE, encode_decode
@@ -152,8 +153,6 @@ def test_merge_skips_stale_entries():
 
 
 def test_bpe_equals_the_library(spark):
-    from tokenizers import Tokenizer
-
     path = public_tokenizers.path("word_bpe_49k.json")
     theirs, ours = Tokenizer.from_file(path), WordBPE(path)
     texts = odd_texts(1500)
@@ -165,8 +164,6 @@ def test_bpe_equals_the_library(spark):
 
 
 def test_token_counts_equal_the_library(spark):
-    from tokenizers import Tokenizer
-
     path = public_tokenizers.path("byte_bpe_50k.json")
     theirs, ours = Tokenizer.from_file(path), CountTransducer(path)
     texts = odd_texts(2500)
@@ -244,3 +241,32 @@ def test_mixing_reaches_its_targets(spark):
     chosen = out.where("mix_selected").agg(F.sum("mix_tokens")).first()[0]
     assert abs(chosen / out.agg(F.sum(F.col("mix_tokens") * F.col("mix_probability"))).first()[0] - 1) < 0.15
     assert mixing.mix(docs.where("false")).count() == 0
+
+
+def test_token_counts_of_long_unspaced_texts(spark, monkeypatch):
+    from tracelake.llm import token_count as module
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    theirs, ours = Tokenizer.from_file(path), CountTransducer(path)
+    rng = random.Random(4)
+    letters = "abcdefgéß01"
+    whole = "".join(rng.choices(letters, k=4000)) * 4000
+    assert ours.count(whole) == ours.count(whole, chunk=1 << 22)
+    # Tables are dropped between spans, in the middle of a word and of a run of blanks.
+    monkeypatch.setattr(module, "_MOST", 500)
+    monkeypatch.setattr(module, "SPAN", 3)
+    for alphabet in (letters, letters + "    .'\n", "  \t\n"):
+        text = "".join(rng.choices(alphabet, k=20000))
+        assert ours.count(text, chunk=100) == len(theirs.encode(text, add_special_tokens=False).ids)
+
+
+def test_coders_take_empty_tables_long_texts_and_repeats(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    long = "some words, again " * 60000
+    docs = documents(spark, [(1, long), (1, long), (1, "x"), (2, "")])
+    size = len(Tokenizer.from_file(path).encode(long, add_special_tokens=False).ids)
+    assert sorted(r.n_tokens for r in token_counts(docs, path).collect()) == [0, 1, size, size]
+    assert token_counts(docs.where("false"), path).count() == 0
+    coded = encode_decode(docs, public_tokenizers.path("word_bpe_49k.json"))
+    assert coded.count() == 4 and coded.where("doc_id = 1").select("ids").distinct().count() == 2
+    assert encode_decode(docs.where("false"), public_tokenizers.path("word_bpe_49k.json")).count() == 0

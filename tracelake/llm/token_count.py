@@ -20,8 +20,11 @@ run without its last sign, for that sign leaves the run when a word follows.
 Chunks.  Long texts are cut into chunks.  After a sign that is not white space
 and then one that is, the state is the same whatever it was before, so the map
 of a chunk from states to (state, count) is its head up to there, the count
-from there on, and its last state.  These maps are composed by a prefix scan in
-pairs, which gives the count after every chunk.
+from there on, and its last state.  A head is kept as its pieces, so composing
+maps copies no text.  The maps of ``SPAN`` chunks are composed by a prefix scan
+in pairs, which gives the count after every chunk; then the state is known and
+nothing but it is carried on, so a text needs the memory of one span however
+long it is, and compiled tables are dropped between spans once they are large.
 
 Defined results: null or empty text has no bytes and no tokens; the special
 token's string counts as one token; nothing is truncated; rows that repeat
@@ -44,7 +47,9 @@ from tracelake.llm.common import bounded_batches, map_arrow
 from tracelake.llm.vocab import SPACES, Vocabulary, byte_letters, merge, vocabulary
 
 CHUNK = 1 << 16
+SPAN = 16
 _MOST = 1 << 20
+_LONG_WORD = 64
 _PATHS = 1 << 19
 _ROOT = 0
 _SHORT = frozenset("stmd")
@@ -79,6 +84,13 @@ class MergeAutomaton:
         self.numbers = {start: 0}
         self.moves: dict[int, tuple[int, int]] = {}
 
+    def number(self, name: tuple) -> int:
+        number = self.numbers.get(name)
+        if number is None:
+            number = self.numbers[name] = len(self.names)
+            self.names.append(name)
+        return number
+
     def _fit(self, left: int, right: int) -> bool:
         if left < 0:
             return True
@@ -105,11 +117,7 @@ class MergeAutomaton:
                 last, gain = token, count + 1
             if self.child[nxt]:
                 grown.append((nxt, before, count))
-        name = (*((n, t, c - gain) for n, t, c in grown), (_ROOT, last, 0))
-        number = self.numbers.get(name)
-        if number is None:
-            number = self.numbers[name] = len(self.names)
-            self.names.append(name)
+        number = self.number((*((n, t, c - gain) for n, t, c in grown), (_ROOT, last, 0)))
         self.moves[state << 8 | b] = move = (number, gain)
         return move
 
@@ -123,10 +131,10 @@ class MergeAutomaton:
 
 @dataclass(frozen=True)
 class ChunkMap:
-    """The map of a stretch of text: ``head`` is read from the state before it;
-    with ``end`` None the head is all of it, else ``count`` and ``end`` follow."""
+    """The map of a stretch of text: the pieces of ``head`` are read from the state
+    before it; with ``end`` None they are all of it, else ``count`` and ``end`` follow."""
 
-    head: str
+    head: tuple[str, ...]
     count: int = 0
     end: int | None = None
 
@@ -204,6 +212,11 @@ class CountTransducer:
         rest, total = words.pop(), 0
         known = self.paths[state]
         for word in words:
+            if len(word) > _LONG_WORD:
+                state, gain = self._walk(state, word + " ")
+                total += gain
+                known = self.paths[state]
+                continue
             path = known.get(word)
             if path is None:
                 path = known[word] = self._walk(state, word + " ")
@@ -228,19 +241,33 @@ class CountTransducer:
             total += gain
         return state, total
 
+    def resume(self, state: int, pieces: tuple[str, ...]) -> tuple[int, int]:
+        total = 0
+        for piece in pieces:
+            state, gain = self.read(state, piece)
+            total += gain
+        return state, total
+
+    def renew(self, state: int) -> int:
+        """The number of a state once all that was compiled has been dropped."""
+        kind, inner, drop, sign = self.names[state]
+        name = self.merges.names[inner]
+        self._forget()
+        return self._number((kind, self.merges.number(name), drop, sign))
+
     def chunk_map(self, text: str) -> ChunkMap:
         found = self.sync.search(text)
         if found is None:
-            return ChunkMap(text)
+            return ChunkMap((text,))
         c = found.group()[1]
         inner, gain = self.merges.run(0, c.encode())
         end, count = self.read(self._number(("space", inner, gain, c)), text[found.end() :])
-        return ChunkMap(text[: found.end()], count, end)
+        return ChunkMap((text[: found.end()],), count, end)
 
     def compose(self, a: ChunkMap, b: ChunkMap) -> ChunkMap:
         if a.end is None:
             return ChunkMap(a.head + b.head, b.count, b.end)
-        end, count = self.read(a.end, b.head)
+        end, count = self.resume(a.end, b.head)
         return ChunkMap(a.head, a.count + count + b.count, end if b.end is None else b.end)
 
     def scan(self, maps: list[ChunkMap]) -> list[ChunkMap]:
@@ -255,14 +282,24 @@ class CountTransducer:
         return out
 
     def _stretch(self, text: str, chunk: int) -> int:
+        state, total = self.start, 0
         if len(text) <= chunk:
-            return self.read(self.start, text)[1]
-        maps = [self.chunk_map(text[i : i + chunk]) for i in range(0, len(text), chunk)]
-        last = self.scan(maps)[-1]
-        return self.read(self.start, last.head)[1] + last.count
+            return self.read(state, text)[1]
+        for at in range(0, len(text), chunk * SPAN):
+            span = text[at : at + chunk * SPAN]
+            last = self.scan([self.chunk_map(span[i : i + chunk]) for i in range(0, len(span), chunk)])[-1]
+            state, gain = self.resume(state, last.head)
+            total += gain + last.count
+            state = state if last.end is None else last.end
+            if self._large():
+                state = self.renew(state)
+        return total
+
+    def _large(self) -> bool:
+        return self.size > _MOST or len(self.merges.moves) > 2 * _MOST
 
     def count(self, text: str, chunk: int = CHUNK) -> int:
-        if self.size > _MOST or len(self.merges.moves) > 2 * _MOST:
+        if self._large():
             self._forget()
         elif self.n_paths > _PATHS:
             self.paths.clear()
