@@ -229,18 +229,44 @@ def test_mixing_reaches_its_targets(spark):
     rows = [(i, " ".join(["w"] * rnd.randint(1, 30)) + rnd.choice(["", " | ", " %%%%%%%%"]), rnd.choice("aab"), rnd.choice(["x", "x", "x", "y", None])) for i in range(3000)]
     rows += [(None, None, None, None), (1, "", "c", "q")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("tokens", F.lit(1)).withColumn("topic", F.lit("t"))
+    docs = docs.withColumn("__source", F.lit(1)).withColumn("__lang", F.lit(2)).withColumn("mix_source_", F.lit(3))
     targets = {"source": {"x": 0.4, "y": 0.4, "unknown": 0.2, "absent": 5.0}, "lang": {"a": 0.5, "b": 0.5}}
     with pytest.raises(Exception):
         mixing.mix(docs.drop("lang"))
-    out = mixing.mix(docs, targets, rounds=15).cache()
-    assert out.count() == len(rows) and out.columns[:6] == docs.columns
+    topic = F.when(F.col("doc_id") % 3 == 0, "even").otherwise("odd")
+    out = mixing.mix(docs, targets, topic=topic).cache()
+    assert out.count() == len(rows) and out.columns[:8] == docs.columns[:8]
     total = out.agg(F.sum(F.col("mix_tokens") * F.col("mix_weight"))).first()[0]
     for d, want in (("lang", {"a": 0.5, "b": 0.5}), ("source", {"x": 0.4, "y": 0.4, None: 0.2})):
         share = {r[0]: r[1] / total for r in out.groupBy(d).agg(F.sum(F.col("mix_tokens") * F.col("mix_weight"))).collect()}
-        assert all(abs(share[k] - v) < 1e-3 for k, v in want.items())
+        assert all(abs(share[k] - v) < 1e-4 for k, v in want.items())
     chosen = out.where("mix_selected").agg(F.sum("mix_tokens")).first()[0]
     assert abs(chosen / out.agg(F.sum(F.col("mix_tokens") * F.col("mix_probability"))).first()[0] - 1) < 0.15
     assert mixing.mix(docs.where("false")).count() == 0
+    # Values that the targets do not name keep their share.
+    some = mixing.mix(docs, {"source": {"x": 1.0}}, topic=topic).groupBy(F.coalesce("source", F.lit("unknown")).alias("s"))
+    got = {r.s: (r.t, r.w) for r in some.agg(F.sum("mix_tokens").alias("t"), F.sum(F.col("mix_tokens") * F.col("mix_weight")).alias("w")).collect()}
+    tokens = sum(t for t, _ in got.values())
+    assert all(abs(w / tokens - t / tokens) < 1e-4 for t, w in got.values())
+
+
+def test_topics_are_groups_of_words_that_stand_together(spark):
+    rnd = random.Random(3)
+    themes = [["harbour", "sailors", "anchors"], ["kitchen", "recipes", "baking"], ["orchard", "apples", "picking"]]
+    rows = []
+    for i in range(600):
+        theme = themes[i % 3]
+        noise = ["w" + str(rnd.randint(0, 50)) for _ in range(20)] + ["always"] * (i % 5 > 0)
+        # The first word of a theme is the widest.
+        rows.append((i, " ".join(noise + theme[:1] + [w for w in theme[1:] if rnd.random() < 0.7])))
+    rows += [(900, None), (901, ""), (None, "nothing of it"), (3, rows[3][1])]
+    docs = documents(spark, rows)
+    topics = mixing.fit_topics(docs, topics=3, companions=2)
+    assert set(topics) == {"en"} and sorted(map(sorted, topics["en"])) == sorted(map(sorted, themes))
+    got = {r.doc_id: r.t for r in docs.select("doc_id", mixing.topic_of(F.col("text"), F.col("lang"), topics).alias("t")).collect()}
+    of = {f"topic-{i + 1}": themes.index(next(t for t in themes if g[0] in t)) for i, g in enumerate(topics["en"])}
+    assert all(of[got[i]] == i % 3 for i in range(600)) and got[900] == got[901] == got[None] == "other"
+    assert mixing.fit_topics(docs.where("false")) == {} == mixing.fit_topics(docs.where("text = ''"))
 
 
 def test_token_counts_of_long_unspaced_texts(spark, monkeypatch):

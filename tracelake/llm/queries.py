@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tracelake.llm import mixing
 from tracelake.llm.ann import ann
 from tracelake.llm.bpe import encode_decode
-from tracelake.llm.common import table
+from tracelake.llm.common import materialize, table
 from tracelake.llm.embedding_dedup import embedding_dedup
 from tracelake.llm.html_extract import html_extract
 from tracelake.llm.pii import KINDS, pii
@@ -28,7 +28,9 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")).select(
+    docs = mixing.measured(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    # Texts are read once; a row is a few numbers and names from there on.
+    return mixing.sampled(materialize(docs.drop("text"))).select(
         "doc_id", "mix_topic", "mix_tokens", F.round("mix_weight", 6).alias("mix_weight"), F.round("mix_probability", 6).alias("mix_probability"), "mix_selected"
     )
 
