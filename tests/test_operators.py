@@ -239,3 +239,39 @@ def test_category_counts_of_a_whole_catalogue(spark):
         assert [got[n] for n in names] == want
     sums = {r.type: tuple(r)[1:] for r in catalog.direction_counts(entries, "type", "n_gestures", "min_trials").collect()}
     assert sums["combined"] == (32, 123, 205, 1009) and sums["independent"] == (78, 862, 608, 6969)
+
+
+def test_movement_splits_and_down_selection(spark):
+    rows_ = [(1, 10 * (i + 1), c) for i, c in enumerate([[1], [1, 2], [1], [-3], [1], [1, 2]])]
+    t = spark.createDataFrame(rows_, "job long, stop long, code array<int>")
+    got = {r.stop: (r.start, r.set) for r in trials.split_movements(t, "job", "code", "stop", 0.7).collect()}
+    assert got == {10: (0, "train"), 20: (10, "test"), 30: (20, "train"), 40: (30, "test"), 50: (40, "test"), 60: (50, "test")}
+    both = {r.stop: r.set for r in trials.split_movements(t, "job", "code", "stop", 0.5, "last", True, False).collect()}
+    assert both == {10: "test", 30: "test", 50: "train", 60: "train", 40: "test"}
+    for bad in ({"percent": 0.0}, {"mode": "none"}):
+        with pytest.raises(ValueError):
+            trials.split_movements(t, "job", "code", "stop", **bad)
+    frames = spark.createDataFrame([(1, v, [v / 10, 0.0, 1.0], [1.0 * v, 2.0]) for v in range(0, 61, 5)], "job long, at long, kin array<double>, feat array<double>")
+    sets = {r.at: (r.train, r.test) for r in trials.frame_sets(frames, trials.split_movements(t, "job", "code", "stop", 0.7), "job", "at", "stop", 7.0).collect()}
+    assert sets[5] == (True, False) and sets[10] == (True, True) and sets[60] == (False, True) and len(sets) == 13
+    split = trials.split_movements(t, "job", "code", "stop", 0.7)
+    ranges = rows(trials.test_ranges(frames, split, "job", "at", "code", "stop", 7.0), "relative_start", "relative_stop", "stop")
+    assert ranges == [(1, 3, 50), (4, 6, 20), (7, 9, 60), (10, 12, 40)]
+    kept = trials.down_select(frames, split.where("pos = 1 and size(code) = 1"), "job", "at", "start", "stop", [3, 1], "kin", "feat", 9.0, [2])
+    assert rows(kept, "place", "at", "kin", "feat")[:2] == [(1, 0, [1.0, 0.0], [2.0]), (2, 5, [1.0, 0.5], [2.0])] and kept.count() == 6
+    assert rows(trials.active_dofs(frames, "job", "kin"), "active") == [([1, 3],)]
+
+
+def test_wide_evaluation_and_decoding_against_numpy(spark):
+    rng = np.random.default_rng(4)
+    x, z = rng.normal(size=(300, 3)), rng.normal(size=(300, 12)) @ rng.normal(size=(12, 12))
+    df = spark.createDataFrame([(1, i, x[i].tolist(), z[i].tolist()) for i in range(300)], "job long, t long, s array<double>, f array<double>").repartition(4)
+    got = {(r.measure, r.place): r.value for r in metrics.evaluate(df, "f", "s", 3, 5).collect()}
+    sv = np.linalg.svd(z - z.mean(axis=0), compute_uv=False) ** 2
+    assert all(abs(got["pca_vaf", i + 1] - 100 * sv[i] / sv.sum()) < 1e-6 for i in range(5))
+    both = np.corrcoef(np.hstack([x, z]).T)
+    assert abs(got["corr_xx", 1] - np.abs(both[3:, 3:]).mean()) < 1e-9 and all(abs(got["corr_xy", i + 1] - np.abs(both[i, 3:]).mean()) < 1e-9 for i in range(3))
+    m = decode.train(df, "job", "t", "s", "f", 3)
+    a = (x[1:].T @ x[:-1]) @ np.linalg.pinv(x[:-1].T @ x[:-1])
+    h = (z.T @ x) @ np.linalg.pinv(x.T @ x)
+    assert np.allclose(m.a, a) and np.allclose(m.h, h) and np.allclose(m.q, (z.T @ z - h @ (z.T @ x).T) / 300)

@@ -84,7 +84,7 @@ def test_kdf(spark, tmp_path):
     (tmp_path / "t.kdf").write_bytes(np.array([1, 3, 2, 0, 0], "<f4").tobytes() + frames.tobytes() + b"\0\0")
     got = files.read_kdf(spark, str(tmp_path)).orderBy("frame").collect()
     assert len(got) == 4 and got[1].nip_time == 6 and got[1].features == [7, 8, 9] and got[1].kinematics == [10, 11] and got[1].targets is None
-    assert files.parse_kdf(np.zeros(5, "<f4").tobytes()) == []
+    assert files.parse_kdf(np.zeros(5, "<f4").tobytes()).empty
 
 
 def test_kef(spark, tmp_path):
@@ -116,3 +116,33 @@ def test_manifest_listing_and_sinks(spark, tmp_path):
     starts = spark.createDataFrame([(1, 5, None), (2, None, 6), (3, None, None)], "s long, rec_start long, ss_rec_start long")
     assert [(r.start, r.unknown) for r in files.clock_starts(starts).orderBy("s").collect()] == [(5, False), (6, False), (None, True)]
     assert files.load_config("a: [1, 2]") == {"a": [1, 2]} and '"a"' in files.to_json({"a": 1})
+
+
+def test_sqlite_catalogue(spark, tmp_path):
+    import sqlite3
+
+    path = str(tmp_path / "catalogue.db")
+    with sqlite3.connect(path) as con:
+        con.execute("CREATE TABLE files (participant_id TEXT, session_dir TEXT, training_filename TEXT, baseline_filename TEXT)")
+        con.executemany("INSERT INTO files VALUES (?, ?, ?, ?)", [("P1", f"s{i}", "t.kdf", None) for i in range(25)])
+    schema = "participant_id string, session_dir string, baseline_filename string"
+    found = files.read_sqlite(spark, path, "SELECT participant_id, session_dir, baseline_filename FROM files WHERE training_filename IS NOT NULL", schema, batch=10)
+    got = found.collect()
+    assert len(got) == 25 and got[0].baseline_filename is None and {r.session_dir for r in got} == {f"s{i}" for i in range(25)}
+    assert files.read_sqlite(spark, path, "SELECT participant_id, session_dir, baseline_filename FROM files WHERE 0", schema).count() == 0
+
+
+def test_files_without_any_key_are_reported(spark):
+    found = spark.createDataFrame([("a", "features"), ("a", "computation_times"), ("b", "features")], "path string, key string")
+    listed = spark.createDataFrame([("a",), ("b",), ("c",)], "path string")
+    lack = files.missing_keys(found, ["features", "computation_times"], files=listed)
+    assert [r.value for r in files.missing_report(lack).collect()] == ["b: lacks computation_times", "c: lacks computation_times, features"]
+
+
+def test_only_a_missing_table_is_left_out_of_a_session(spark, tmp_path):
+    spark.range(3).write.parquet(str(tmp_path / "events.parquet"))
+    assert set(files.load_session(spark, str(tmp_path))) == {"events"}
+    (tmp_path / "kinematics.parquet").mkdir()
+    (tmp_path / "kinematics.parquet" / "part.parquet").write_bytes(b"not a table")
+    with pytest.raises(Exception):
+        files.load_session(spark, str(tmp_path))

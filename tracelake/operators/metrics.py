@@ -112,3 +112,16 @@ def movement_errors(df: DataFrame, window: Sequence[str], dof: str, true: str, p
     return df.groupBy(*window, dof).agg(
         F.sqrt(F.avg(F.pow(F.col(true) - F.col(predicted), 2))).alias("rmse"), (F.sum(true) != 0).alias("intended")
     )
+
+
+def evaluate(df: DataFrame, features: str, targets: str, n_targets: int, components: int = 20) -> DataFrame:
+    """measure, place, value of a feature set: the variance in its first principal
+    components (``pca_vaf``), its redundancy (``corr_xx``) and its relevance to each
+    target (``corr_xy``).  Mutual information is not measured: the constants that
+    stand for it (1, and the number of each of twelve targets) are given as such."""
+    both = df.select(F.concat(F.col(targets).cast("array<double>"), F.col(features).cast("array<double>")).alias("v"), F.col(features).cast("array<double>").alias("f"))
+    vaf = variance_explained(both, F.col("f"), components).select(F.lit("pca_vaf").alias("measure"), F.col("component").alias("place"), F.col("percent").alias("value"))
+    xx = redundancy(both, "f").select(F.lit("corr_xx").alias("measure"), F.lit(1).alias("place"), F.col("redundancy").alias("value"))
+    xy = relevance(both, "v", n_targets).select(F.lit("corr_xy").alias("measure"), (F.col("target") + 1).cast("int").alias("place"), F.col("relevance").alias("value"))
+    fixed = df.sparkSession.createDataFrame([("mutual_info_xx", 1, 1.0)] + [("mutual_info_xy", i, float(i)) for i in range(1, 13)], "measure string, place int, value double")
+    return vaf.unionByName(xx).unionByName(xy).unionByName(fixed)

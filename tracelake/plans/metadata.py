@@ -142,6 +142,6 @@ def raster_chart(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy.raster(_tidy(spark, sf_dir), ["neural_1"]).select(F.round("t", 3).alias("t"), "feature_id", *r6("value"))
 
 
-@query()
+@query("SELECT DISTINCT user_id FROM events ORDER BY md5(concat_ws('|', user_id, 42)), user_id LIMIT 64")
 def channel_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy.sampled(table(spark, sf_dir, "events"), "user_id", 64)

@@ -102,3 +102,48 @@ def spike_chunks(name: str, chunks: str, samples: str, limit: str, refractory: i
   SELECT chan, r, frame, size, CASE WHEN high AND p >= w THEN p + {refractory} ELSE w END, (p > 0 AND had) OR (high AND p >= w), high AND p >= w FROM (
     SELECT q.*, h.had, CASE WHEN q.p > 0 THEN h.free WHEN h.had THEN greatest(0, h.free - h.size) ELSE 0 END AS w FROM {name}_h h JOIN {name}_q q ON q.chan = h.chan AND q.r = h.r + 1)),
 {name} AS (SELECT chan, frame, count(*) FILTER (WHERE hit) AS hits FROM {name}_h GROUP BY ALL)"""
+
+
+def _cells(out: str, f) -> str:
+    return ", ".join(f"{f(i, j)} AS {out}{i}{j}" for i in (1, 2) for j in (1, 2))
+
+
+def _dot(left, right) -> str:
+    return "(" + " + ".join(f"{left(k)} * {right(k)}" for k in (1, 2)) + ")"
+
+
+def _inverse(out: str, m: str) -> str:
+    det = f"({m}11 * {m}22 - {m}12 * {m}21)"
+    return f"{m}22 / {det} AS {out}11, -{m}12 / {det} AS {out}12, -{m}21 / {det} AS {out}21, {m}11 / {det} AS {out}22"
+
+
+def kalman_model(frames: str, by: str, order: str) -> str:
+    """CTEs that end in ``m``, one row: the model (a, w, h, q) of two states x1, x2
+    and two features z1, z2 of ``frames``."""
+    total = lambda out, left, right: _cells(out, lambda i, j: f"sum({left}{i} * {right}{j})")
+    return f"""m1 AS (SELECT *, lead(x1) OVER w AS n1, lead(x2) OVER w AS n2 FROM {frames} WINDOW w AS (PARTITION BY {by} ORDER BY {order})),
+m2 AS (SELECT count(*) AS m, {total('xx', 'x', 'x')}, {total('xz', 'x', 'z')}, {total('zz', 'z', 'z')} FROM m1),
+m3 AS (SELECT {total('p', 'x', 'x')}, {total('c', 'x', 'n')}, {total('o', 'n', 'n')} FROM m1 WHERE n1 IS NOT NULL),
+m4 AS (SELECT *, {_inverse('u', 'xx')}, {_inverse('v', 'p')} FROM m2 CROSS JOIN m3),
+m5 AS (SELECT *, {_cells('a', lambda i, j: _dot(lambda k: f'c{k}{i}', lambda k: f'v{k}{j}'))}, {_cells('h', lambda i, j: _dot(lambda k: f'xz{k}{i}', lambda k: f'u{k}{j}'))} FROM m4),
+m AS (SELECT *, {_cells('w', lambda i, j: f"(o{i}{j} - {_dot(lambda k: f'a{i}{k}', lambda k: f'c{k}{j}')}) / (m - 1)")},
+  {_cells('q', lambda i, j: f"(zz{i}{j} - {_dot(lambda k: f'h{i}{k}', lambda k: f'xz{k}{j}')}) / m")} FROM m5)"""
+
+
+def kalman_steps(frames: str, by: str, order: str) -> str:
+    """CTEs that end in ``k`` (by, order, x1, x2): decoded states, clipped to 1."""
+    clip = lambda i: f"greatest(-1.0, least(1.0, y{i} + {_dot(lambda k: f'g{i}{k}', lambda k: f'e{k}')})) AS x{i}"
+    return f"""{kalman_model(frames, by, order)}, r AS (SELECT {by}, {order}, z1, z2, row_number() OVER (PARTITION BY {by} ORDER BY {order}) AS row FROM {frames}),
+k AS (
+  SELECT {by}, {order}, row, 0.0::DOUBLE AS x1, 0.0::DOUBLE AS x2, 0.0::DOUBLE AS p11, 0.0::DOUBLE AS p12, 0.0::DOUBLE AS p21, 0.0::DOUBLE AS p22 FROM r WHERE row = 1
+  UNION ALL
+  SELECT {by}, {order}, row, {clip(1)}, {clip(2)}, {', '.join(f"d{i}{j} - {_dot(lambda k: f't{i}{k}', lambda k: f'd{k}{j}')}" for i in (1, 2) for j in (1, 2))} FROM (
+    SELECT *, {_cells('t', lambda i, j: _dot(lambda k: f'g{i}{k}', lambda k: f'h{k}{j}'))}, z1 - h11 * y1 - h12 * y2 AS e1, z2 - h21 * y1 - h22 * y2 AS e2 FROM (
+      SELECT *, {_cells('g', lambda i, j: _dot(lambda k: f'f{i}{k}', lambda k: f'l{k}{j}'))} FROM (
+        SELECT *, {_inverse('l', 's')} FROM (
+          SELECT *, {_cells('s', lambda i, j: _dot(lambda k: f'h{i}{k}', lambda k: f'f{k}{j}') + f' + q{i}{j}')} FROM (
+            SELECT *, {_cells('f', lambda i, j: _dot(lambda k: f'd{i}{k}', lambda k: f'h{j}{k}'))} FROM (
+              SELECT *, {_cells('d', lambda i, j: _dot(lambda k: f'b{i}{k}', lambda k: f'a{j}{k}') + f' + w{i}{j}')} FROM (
+                SELECT r.*, {', '.join(f'm.{n}{i}{j}' for n in 'ahwq' for i in (1, 2) for j in (1, 2))}, a11 * k.x1 + a12 * k.x2 AS y1, a21 * k.x1 + a22 * k.x2 AS y2,
+                  {_cells('b', lambda i, j: _dot(lambda n: f'm.a{i}{n}', lambda n: f'k.p{n}{j}'))}
+                FROM k JOIN r ON r.{by} = k.{by} AND r.row = k.row + 1 CROSS JOIN m))))))))"""

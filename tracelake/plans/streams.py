@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracelake.operators import decode
 from tracelake.plans.base import query, r6, table
+from tracelake.plans.features import KALMAN_SQL
 from tracelake.plans.signals import _HITS
 from tracelake.streaming import stateful
 
@@ -36,9 +37,9 @@ def stream_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_type", F.unix_seconds("start").alias("start"), "n", *r6("mean_abs"))
 
 
-@query()
+@query(KALMAN_SQL)
 def stream_kalman(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = lambda df: df.select("vec_id", "label", F.slice("embedding", 1, 8).alias("state"), F.slice("embedding", 9, 56).alias("features"))
-    model = decode.train(parts(table(spark, sf_dir, "embeddings")), "label", "vec_id", "state", "features", 8)
+    parts = lambda df: df.select("vec_id", "label", F.slice("embedding", 1, 2).alias("state"), F.slice("embedding", 9, 2).alias("features"))
+    model = decode.train(parts(table(spark, sf_dir, "embeddings")), "label", "vec_id", "state", "features", 2)
     rows = stateful.run_available(stateful.kalman(parts(_stream(spark, sf_dir, "embeddings")), "label", "vec_id", "features", model))
     return rows.select("label", "vec_id", F.transform("predicted", lambda p: F.round(p, 6)).alias("predicted"))

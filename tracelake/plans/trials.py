@@ -63,7 +63,9 @@ def split_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _split(spark, sf_dir, 0.75, "train_first", half_even=False)
 
 
-@query()
+@query(f"""WITH {_GESTURES},
+p AS (SELECT l_orderkey, gesture_id, count(*) OVER (PARTITION BY gesture_id) AS n, row_number() OVER (PARTITION BY gesture_id ORDER BY md5(concat_ws('|', l_orderkey, 2025)), l_orderkey) AS place FROM gestures WHERE NOT is_combined)
+SELECT l_orderkey, gesture_id, CASE WHEN place <= round_even(n * 0.75, 0) THEN 'train' ELSE 'test' END AS set FROM p WHERE n >= 2""")
 def split_random(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _split(spark, sf_dir, 0.75, "train_random")
 
@@ -113,7 +115,68 @@ _MOVING = ", ".join(f"CASE WHEN a{d} <> 0 THEN {d} END" for d in range(1, 8))
 
 
 @query(f"""WITH {_WIDE}, m AS (SELECT *, coalesce({_MOVING}) AS first_dof, {' + '.join(f'(a{d} <> 0)::INT' for d in range(1, 8))} AS n, {' + '.join(f'abs(a{d})' for d in range(1, 8))} AS total FROM a)
-SELECT l_orderkey, round(total, 6) AS mvnt_count FROM m WHERE n = 1 AND first_dof IN (1, 2, 4, 6) AND NOT (first_dof = 4 AND a4 < 0)""")
+SELECT l_orderkey, round(total, 6) AS mvnt_count FROM m WHERE total <= 1 AND first_dof IN (1, 2, 4, 6) AND NOT (first_dof = 4 AND a4 < 0)""")
 def downselect(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = trials.eligible(_amplitudes(spark, sf_dir), "amps", [1, 2, 4, 6], False, [1.0] * 7, [1.0, 1.0, 1.0, 0.0, 1.0, 1.0, 1.0])
     return found.select("l_orderkey", *r6("mvnt_count"))
+
+
+# Orders are trials of a job (customers by tens), their priority is the movement.
+_JOBS = """t AS (SELECT o_custkey % 10 AS job, o_orderkey AS stop, CASE o_orderpriority[1] WHEN '1' THEN [1, -2] WHEN '2' THEN [2] WHEN '3' THEN [-2] WHEN '4' THEN [3, 4] ELSE [5] END AS code FROM orders),
+n AS (SELECT *, lag(stop, 1, 0) OVER (PARTITION BY job ORDER BY stop) AS start, row_number() OVER (PARTITION BY job, code ORDER BY {order} stop) AS pos, count(*) OVER (PARTITION BY job, code) AS n FROM t),
+s AS (SELECT job, stop, code, start, pos, CASE WHEN {train} AND ({train_combos} OR len(code) = 1) THEN 'train' WHEN {test_combos} OR len(code) = 1 THEN 'test' END AS set FROM n),
+f AS (SELECT c_custkey % 10 AS job, c_custkey * 10 + 1 AS at FROM customer)"""
+_FIRST = _JOBS.format(order="", train="pos <= floor(n * 0.7)", train_combos="false", test_combos="true")
+_STEP = 100.0
+
+
+def _job_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.substring("o_orderpriority", 1, 1)
+    code = F.when(kind == "1", F.array(F.lit(1), F.lit(-2))).when(kind == "2", F.array(F.lit(2))).when(kind == "3", F.array(F.lit(-2))).when(kind == "4", F.array(F.lit(3), F.lit(4))).otherwise(F.array(F.lit(5)))
+    return table(spark, sf_dir, "orders").select((F.col("o_custkey") % 10).alias("job"), F.col("o_orderkey").alias("stop"), code.alias("code"))
+
+
+def _job_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select((F.col("c_custkey") % 10).alias("job"), (F.col("c_custkey") * 10 + 1).alias("at"), "c_acctbal", "c_nationkey")
+
+
+def _split_jobs(spark: SparkSession, sf_dir: str, mode: str = "first", percent: float = 0.7, train_combos: bool = False, test_combos: bool = True) -> DataFrame:
+    return trials.split_movements(_job_trials(spark, sf_dir), "job", "code", "stop", percent, mode, train_combos, test_combos)
+
+
+@query(f"WITH {_FIRST} SELECT job, stop, start, pos::INT AS pos, set FROM s WHERE set IS NOT NULL")
+def split_movements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _split_jobs(spark, sf_dir).select("job", "stop", "start", "pos", "set")
+
+
+@query(f"""WITH {_JOBS.format(order="md5(concat_ws('|', job, stop, 2025)),", train="pos <= floor(n * 0.5)", train_combos="true", test_combos="false")} SELECT job, stop, start, pos::INT AS pos, set FROM s WHERE set IS NOT NULL""")
+def split_movements_shuffled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _split_jobs(spark, sf_dir, "shuffle", 0.5, True, False).select("job", "stop", "start", "pos", "set")
+
+
+@query(f"WITH {_FIRST} SELECT f.job, f.at, bool_or(set = 'train') AS train, bool_or(set = 'test') AS test FROM f JOIN s ON s.job = f.job AND f.at BETWEEN start AND stop WHERE set IS NOT NULL GROUP BY ALL")
+def split_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trials.frame_sets(_job_frames(spark, sf_dir), _split_jobs(spark, sf_dir), "job", "at", "stop", _STEP)
+
+
+@query(f"""WITH {_FIRST}, z AS (SELECT s.job, s.stop, s.pos, min(s.stop) OVER (PARTITION BY s.job, s.code) AS first, s.set, (SELECT count(*) FROM f WHERE f.job = s.job AND f.at BETWEEN s.start AND s.stop) AS size FROM s WHERE set IS NOT NULL),
+c AS (SELECT job, stop, size, sum(size) OVER (PARTITION BY job ORDER BY first, pos)::BIGINT AS relative_stop FROM z WHERE set = 'test')
+SELECT job, stop, relative_stop - size + 1 AS relative_start, relative_stop FROM c""")
+def split_test_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trials.test_ranges(_job_frames(spark, sf_dir), _split_jobs(spark, sf_dir), "job", "at", "code", "stop", _STEP)
+
+
+@query(f"""WITH {_FIRST}, g AS (SELECT c_custkey % 10 AS job, c_custkey * 10 + 1 AS at, c_acctbal AS a, c_nationkey AS b FROM customer), e AS (SELECT job, start, stop FROM s WHERE code[1] IN (1, 2, 5) AND len(code) = 1)
+SELECT g.job, row_number() OVER (PARTITION BY g.job ORDER BY e.stop, e.start, g.at)::INT AS place, e.stop, g.at, a AS dof FROM g JOIN e ON e.job = g.job AND g.at BETWEEN e.start AND e.stop""")
+def down_selected_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = _split_jobs(spark, sf_dir).where(F.col("code")[0].isin(1, 2, 5) & (F.size("code") == 1))
+    frames = _job_frames(spark, sf_dir).select("job", "at", F.array("c_acctbal", F.lit(0.0)).alias("kin"), F.array(F.col("c_nationkey").cast("double")).alias("feat"))
+    rows = trials.down_select(frames, own, "job", "at", "start", "stop", [1], "kin", "feat", _STEP)
+    return rows.select("job", "place", "stop", "at", F.col("kin")[0].alias("dof"))
+
+
+@query(f"""WITH {_JOBS.format(order="", train="pos <= floor(n * 0.7)", train_combos="false", test_combos="true")}, g AS (SELECT c_custkey % 10 AS job, sum(c_acctbal) AS a, sum(c_nationkey) AS b FROM customer GROUP BY ALL)
+SELECT job, list_filter([CASE WHEN a <> 0 THEN 1 END, CASE WHEN b <> 0 THEN 2 END], x -> x IS NOT NULL) AS active FROM g""".replace("x -> x", "lambda x: x"))
+def active_dofs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frames = _job_frames(spark, sf_dir).select("job", F.array("c_acctbal", F.col("c_nationkey").cast("double"), F.lit(0.0)).alias("kin"))
+    return trials.active_dofs(frames, "job", "kin")

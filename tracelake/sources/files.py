@@ -9,6 +9,7 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,31 +19,30 @@ MANIFEST = "job_id int, participant_id string, session_dir string, training_file
 _SECTIONS = ("features", "kinematics", "targets", "kalman")
 
 
-def parse_kdf(raw: bytes) -> list[tuple]:
-    """(frame, nip_time, features, kinematics, targets, kalman): five float32
-    counts, then float32 frames; an empty section is null."""
+def parse_kdf(raw: bytes) -> pd.DataFrame:
+    """frame, nip_time, features, kinematics, targets, kalman: five float32 counts,
+    then float32 frames; an empty section is null."""
     head = np.frombuffer(raw[:20], "<f4").astype(int)
     width = int(head.sum())
-    if width == 0:
-        return []
-    n = (len(raw) - 20) // (4 * width)
-    rows = np.frombuffer(raw[20 : 20 + 4 * n * width], "<f4").reshape(n, width)
-    cuts = np.split(rows, np.cumsum(head)[:-1], axis=1)
-    out = []
-    for i in range(n):
-        parts = [c[i].tolist() if c.shape[1] else None for c in cuts]
-        out.append((i, float(parts[0][0]) if parts[0] else None, *parts[1:]))
-    return out
+    n = (len(raw) - 20) // (4 * width) if width else 0
+    rows = np.frombuffer(raw[20 : 20 + 4 * n * width], "<f4").reshape(n, max(width, 1))[:, :width]
+    parts = np.split(rows, np.cumsum(head)[:-1], axis=1)
+    listed = [list(p) if p.shape[1] else [None] * n for p in parts]
+    time = parts[0][:, 0].astype(float) if parts[0].shape[1] else [None] * n
+    return pd.DataFrame(dict(zip(("frame", "nip_time", *_SECTIONS), (np.arange(n), time, *listed[1:]))))
 
 
 def read_kdf(spark: SparkSession, path: str) -> DataFrame:
-    """path, frame, nip_time, and arrays of the four sections."""
+    """path, frame, nip_time, and arrays of the four sections; a file at a time in
+    hand, as whole as the files are (some megabytes an hour)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for name, raw in zip(pdf["path"], pdf["content"]):
                 rows = parse_kdf(raw)
-                yield pd.DataFrame([(name, *r) for r in rows], columns=["path", "frame", "nip_time", *_SECTIONS])
+                rows.insert(0, "path", name)
+                for lo in range(0, len(rows), 8192):
+                    yield rows.iloc[lo : lo + 8192]
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.kdf").load(path).select("path", "content")
     return files.mapInPandas(run, "path string, frame long, nip_time double, " + ", ".join(f"{s} array<float>" for s in _SECTIONS))
@@ -114,13 +114,46 @@ def first_per_dir(files: DataFrame) -> DataFrame:
     return files.groupBy("dir").agg(F.min("path").alias("path"), (F.count(F.lit(1)) > 1).alias("several"))
 
 
-def missing_keys(found: DataFrame, required: Sequence[str], file: str = "path", key: str = "key") -> DataFrame:
-    """Files that lack one of the required keys, with those they lack."""
+def missing_keys(found: DataFrame, required: Sequence[str], file: str = "path", key: str = "key", files: DataFrame | None = None) -> DataFrame:
+    """Files that lack one of the required keys, with those they lack; of ``files``,
+    a listing, those without any key row too."""
     have = found.groupBy(file).agg(F.collect_set(key).alias("have"))
+    if files is not None:
+        have = files.select(file).distinct().join(have, file, "left").withColumn("have", F.coalesce("have", F.array().cast(have.schema["have"].dataType)))
     lack = F.array_except(F.array(*map(F.lit, required)), F.col("have"))
     return have.where(F.size(lack) > 0).select(file, lack.alias("missing"))
 
 
+def missing_report(lacking: DataFrame, file: str = "path") -> DataFrame:
+    """One line of text for each file that lacks keys, in order."""
+    line = F.concat(F.col(file).cast("string"), F.lit(": lacks "), F.array_join(F.sort_array("missing"), ", "))
+    return lacking.select(line.alias("value")).orderBy("value")
+
+
+def read_sqlite(spark: SparkSession, path: str, query: str, schema: str, batch: int = 10000) -> DataFrame:
+    """Rows of a query of an SQLite file (a catalogue), read by one task in batches;
+    the file is opened read-only."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    fields = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import sqlite3
+
+        for _ in batches:
+            con = sqlite3.connect(f"file:{path}?mode=ro", uri=True)
+            try:
+                cursor = con.execute(query)
+                while rows := cursor.fetchmany(batch):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), fields)], schema=fields)
+            finally:
+                con.close()
+
+    return spark.range(1, numPartitions=1).mapInArrow(run, schema)
+
+
 def clock_starts(sidecar: DataFrame) -> DataFrame:
     """Start of recording, from the second source where the first has none; null
     (and a flag) where neither has one."""
@@ -145,6 +178,8 @@ def load_session(spark: SparkSession, path: str, events: bool = True, kinematics
             continue
         try:
             out[name] = spark.read.parquet(f"{path}/{name}.parquet")
-        except Exception as e:  # a path that is not there is an analysis error
-            log.warning("%s: %s is not there (%s)", path, name, type(e).__name__)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            log.warning("%s: %s is not there", path, name)
     return out

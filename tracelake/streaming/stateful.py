@@ -86,7 +86,11 @@ def sliding(df: DataFrame, ts: str, value: str, by: str, length: str, slide: str
 
 
 def shared_folder(spark: SparkSession) -> str:
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tracelake-stream-")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset; on a cluster it names a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="tracelake-stream-")
     return f"{folder}/stream-{uuid.uuid4().hex}"
 
 
