@@ -17,13 +17,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpoint_folder(spark: SparkSession) -> str:
     """The shared folder for checkpoints and stage results.
 
-    It comes from ``spark.checkpoint.dir``; only where that is unset (tests, one
-    machine) a folder of our own is used.
+    It comes from ``spark.checkpoint.dir``; where that is unset a folder of our
+    own is used on one machine, and on a cluster, where executors would not share
+    it, an error is raised.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tracelake-checkpoint-"))
+        if not folder:
+            if not context.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir is unset; on a cluster it names a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="tracelake-checkpoint-")
+        context.setCheckpointDir(folder)
     return context.getCheckpointDir()
 
 
