@@ -33,10 +33,12 @@ count alike; other columns are neither read nor returned.
 
 from __future__ import annotations
 
+import gc
 import unicodedata
 from collections import defaultdict
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pyarrow as pa
 import regex
@@ -92,32 +94,39 @@ class MergeAutomaton:
         return number
 
     def _fit(self, left: int, right: int) -> bool:
-        if left < 0:
-            return True
-        found = self.fits.get((left, right))
-        if found is None:
-            if len(self.fits) >= _MOST:
-                self.fits.clear()
+        """Whether the two tokens are the encoding of their strings together."""
+        if len(self.fits) >= _MOST:
+            self.fits.clear()
+        fit = (left, right) not in self.vocab.merges
+        if fit:
             ids = [self.vocab.byte_ids[b] for b in self.bytes_of[left] + self.bytes_of[right]]
-            found = self.fits[left, right] = merge(ids, self.vocab.merges) == [left, right]
-        return found
+            fit = merge(ids, self.vocab.merges) == [left, right]
+        self.fits[left, right] = fit
+        return fit
 
     def step(self, state: int, b: int) -> tuple[int, int]:
         """(next state, change of the count) on byte ``b``."""
         move = self.moves.get(state << 8 | b)
         if move is not None:
             return move
+        child, token_of, fits = self.child, self.token, self.fits
         grown, last, gain = [], -1, 0
         for node, before, count in self.names[state]:
-            nxt = self.child[node].get(b)
+            nxt = child[node].get(b)
             if nxt is None:
                 continue
-            token = self.token[nxt]
-            if token is not None and last < 0 and self._fit(before, token):
-                last, gain = token, count + 1
-            if self.child[nxt]:
+            if last < 0 and (token := token_of[nxt]) is not None:
+                fit = before < 0 or fits.get((before, token))
+                if fit is None:
+                    fit = self._fit(before, token)
+                if fit:
+                    last, gain = token, count + 1
+            if child[nxt]:
                 grown.append((nxt, before, count))
-        number = self.number((*((n, t, c - gain) for n, t, c in grown), (_ROOT, last, 0)))
+        if gain:
+            grown = [(n, t, c - gain) for n, t, c in grown]
+        grown.append((_ROOT, last, 0))
+        number = self.number(tuple(grown))
         self.moves[state << 8 | b] = move = (number, gain)
         return move
 
@@ -145,6 +154,7 @@ class CountTransducer:
         self.merges = MergeAutomaton(self.vocab)
         self.sync = regex.compile(f"[^{SPACES}][{SPACES}]")
         self.spaces = frozenset(SPACES)
+        self.kinds: dict[str, str] = {}
         self._forget()
 
     def _forget(self) -> None:
@@ -166,14 +176,18 @@ class CountTransducer:
         return number
 
     def _kind(self, c: str) -> str:
-        if c in self.spaces:
-            return "space"
-        group = unicodedata.category(c)[0]
-        return {"L": "letter", "N": "digit"}.get(group, "other")
+        kind = self.kinds.get(c)
+        if kind is None:
+            group = {"L": "letter", "N": "digit"}.get(unicodedata.category(c)[0], "other")
+            kind = self.kinds[c] = "space" if c in self.spaces else group
+        return kind
 
     def _compile(self, state: int, c: str) -> tuple[int, int]:
         kind, inner, drop, sign = self.names[state]
         new, raw, run = self._kind(c), c.encode(), self.merges.run
+        if kind == new and new != "space":
+            nxt, gain = run(inner, raw) if len(raw) > 1 else self.merges.step(inner, raw[0])
+            return self._number((new, nxt, 0, "")), gain
         if new == "space":
             if kind == "space":
                 nxt, gain = run(inner, raw)
@@ -232,11 +246,11 @@ class CountTransducer:
         table, total = self.table, 0
         row = table[state]
         for c in text:
-            move = row.get(c)
-            if move is None:
-                move = row[c] = self._compile(state, c)
+            try:
+                state, gain = row[c]
+            except KeyError:
+                state, gain = row[c] = self._compile(state, c)
                 self.size += 1
-            state, gain = move
             row = table[state]
             total += gain
         return state, total
@@ -310,12 +324,21 @@ class CountTransducer:
         return total
 
 
+@lru_cache(maxsize=2)
+def shared(path: str) -> CountTransducer:
+    """The transducer of this process: what one task compiled serves the next."""
+    return CountTransducer(path)
+
+
 class _Task:
     def __init__(self, path: str) -> None:
         self.path = path
 
     def start(self) -> Callable[..., dict]:
-        transducer = CountTransducer(self.path)
+        # The tables are many small tuples without cycles, which the collector
+        # would go through again and again.
+        gc.set_threshold(100_000, 50, 1000)
+        transducer = shared(str(self.path))
 
         def run(doc_id: pa.Array, text: pa.Array) -> dict:
             texts = [t or "" for t in text.to_pylist()]
