@@ -229,13 +229,13 @@ def test_mixing_reaches_its_targets(spark):
     rows = [(i, " ".join(["w"] * rnd.randint(1, 30)) + rnd.choice(["", " | ", " %%%%%%%%"]), rnd.choice("aab"), rnd.choice(["x", "x", "x", "y", None])) for i in range(3000)]
     rows += [(None, None, None, None), (1, "", "c", "q")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("tokens", F.lit(1)).withColumn("topic", F.lit("t"))
-    docs = docs.withColumn("__source", F.lit(1)).withColumn("__lang", F.lit(2)).withColumn("mix_source_", F.lit(3))
+    docs = docs.withColumn("__source", F.lit(1)).withColumn("__lang", F.lit(2)).withColumn("mix_key_0", F.lit(3)).withColumn("Mix_Key_1", F.lit(4))
     targets = {"source": {"x": 0.4, "y": 0.4, "unknown": 0.2, "absent": 5.0}, "lang": {"a": 0.5, "b": 0.5}}
     with pytest.raises(Exception):
         mixing.mix(docs.drop("lang"))
     topic = F.when(F.col("doc_id") % 3 == 0, "even").otherwise("odd")
     out = mixing.mix(docs, targets, topic=topic).cache()
-    assert out.count() == len(rows) and out.columns[:8] == docs.columns[:8]
+    assert out.count() == len(rows) and out.columns == [*docs.columns, *mixing.ADDED]
     total = out.agg(F.sum(F.col("mix_tokens") * F.col("mix_weight"))).first()[0]
     for d, want in (("lang", {"a": 0.5, "b": 0.5}), ("source", {"x": 0.4, "y": 0.4, None: 0.2})):
         share = {r[0]: r[1] / total for r in out.groupBy(d).agg(F.sum(F.col("mix_tokens") * F.col("mix_weight"))).collect()}

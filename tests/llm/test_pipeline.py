@@ -35,8 +35,8 @@ def test_registered():
 
 
 def write_tables(spark, folder, docs, labels):
-    schema = "doc_id long, text string, lang string, source string, n_chars long, tokens int, score string, fp int, mix_weight double"
-    spark.createDataFrame([(*d, 1, "x", 2, 0.5) for d in docs], schema).write.parquet(f"{folder}/documents.parquet")
+    schema = "doc_id long, text string, lang string, source string, n_chars long, tokens int, score string, fp int, mix_weight double, mix_key_0 int, input_0 int, KEY_1 int"
+    spark.createDataFrame([(*d, 1, "x", 2, 0.5, 3, 4, 5) for d in docs], schema).write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
 
 

@@ -66,6 +66,13 @@ def map_arrow(df: DataFrame, function: Callable[..., dict], schema: str) -> Data
     return df.mapInArrow(run, schema)
 
 
+def fresh(stem: str, n: int, taken: list[str]) -> list[str]:
+    """``n`` column names that are not taken, whatever their case."""
+    used = {c.lower() for c in taken}
+    found = (name for i in range(len(used) + n) if (name := f"{stem}_{i}") not in used)
+    return [next(found) for _ in range(n)]
+
+
 def append_arrow(df: DataFrame, inputs: list[str], function: Callable[..., dict], schema: str) -> DataFrame:
     """All columns of ``df``, unchanged, and those of ``schema`` that
     ``function(*inputs)`` gives; columns of the same names are replaced."""
@@ -76,7 +83,7 @@ def append_arrow(df: DataFrame, inputs: list[str], function: Callable[..., dict]
     fields = to_arrow_schema(added)
     df = df.drop(*(f.name for f in added))
     # Columns the function needs go to the end under names of their own.
-    own = [f"__input_{i}" for i in range(len(inputs))]
+    own = fresh("input", len(inputs), df.columns)
     sent = df.select("*", *(F.col(c).alias(o) for c, o in zip(inputs, own)))
     n = len(df.columns)
 

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import append_arrow, bounded_batches, connected_components, map_arrow, materialize
+from tracelake.llm.common import append_arrow, bounded_batches, connected_components, fresh, map_arrow, materialize
 
 SHINGLE = 3
 MAX_BITS = 2
@@ -160,6 +160,6 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, long_posting: int = LONG_P
     key = [doc_id.isNull().alias("k0"), F.coalesce(doc_id, F.lit(0)).alias("k1"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("k2")]
     marked = materialize(append_arrow(docs.select(*key, "text"), ["text"], run, "fp long").drop("text"))
     kept = _classes(marked, F.struct("k0", "k1", "k2"), long_posting).select("best.*").distinct()
-    names = [f"__{n}" for n in ("k0", "k1", "k2")]
+    names = fresh("key", 3, docs.columns)
     kept = kept.toDF(*names)
     return docs.withColumns(dict(zip(names, key))).join(kept, names, "left_semi").dropDuplicates(names).drop(*names)
