@@ -4,6 +4,7 @@ import math
 from pathlib import Path
 
 import duckdb
+import numpy as np
 import pytest
 
 from tracelake.plans import QUERIES, SQL
@@ -46,3 +47,15 @@ def test_query(spark, duck, name):
     for a, b in zip(got, want):
         for x, y in zip(a, b):
             assert x == y or (isinstance(x, float) and x == pytest.approx(float(y), abs=2e-6)), (name, a, b)
+
+
+@pytest.mark.parametrize("name", ["kalman_decode"])
+def test_decoded_zeros_keep_their_sign(spark, tmp_path, name):
+    rng = np.random.default_rng(4)
+    rows = [(i, [*map(float, rng.normal(size=8) * 2e-6), *map(float, rng.normal(size=56))], i % 2) for i in range(200)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = sorted((r[0], r[1], *map(repr, r[2])) for r in con.sql(SQL[name]).fetchall())
+    got = sorted((r.label, r.vec_id, *map(repr, r.predicted)) for r in QUERIES[name](spark, str(tmp_path)).collect())
+    assert got == want and any("-0.0" in r for r in got)
