@@ -275,3 +275,11 @@ def test_wide_evaluation_and_decoding_against_numpy(spark):
     a = (x[1:].T @ x[:-1]) @ np.linalg.pinv(x[:-1].T @ x[:-1])
     h = (z.T @ x) @ np.linalg.pinv(x.T @ x)
     assert np.allclose(m.a, a) and np.allclose(m.h, h) and np.allclose(m.q, (z.T @ z - h @ (z.T @ x).T) / 300)
+
+
+def test_movement_splits_cut_decimal_shares_down(spark):
+    # In binary 0.7 x 90 is a little under 63.
+    t = spark.createDataFrame([(1, i, [1]) for i in range(90)], "job long, stop long, code array<int>")
+    for mode, ends in (("first", range(63)), ("last", range(27, 90))):
+        train = trials.split_movements(t, "job", "code", "stop", 0.7, mode).where("set = 'train'")
+        assert sorted(r.stop for r in train.collect()) == list(ends)
