@@ -49,7 +49,7 @@ def test_query(spark, duck, name):
             assert x == y or (isinstance(x, float) and x == pytest.approx(float(y), abs=2e-6)), (name, a, b)
 
 
-@pytest.mark.parametrize("name", ["kalman_decode"])
+@pytest.mark.parametrize("name", ["kalman_decode", "stream_kalman"])
 def test_decoded_zeros_keep_their_sign(spark, tmp_path, name):
     rng = np.random.default_rng(4)
     rows = [(i, [*map(float, rng.normal(size=8) * 2e-6), *map(float, rng.normal(size=56))], i % 2) for i in range(200)]
