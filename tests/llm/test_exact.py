@@ -269,6 +269,20 @@ def test_topics_are_groups_of_words_that_stand_together(spark):
     assert mixing.fit_topics(docs.where("false")) == {} == mixing.fit_topics(docs.where("text = ''"))
 
 
+def test_topics_are_fitted_on_all_documents(spark):
+    import hashlib
+
+    ids = sorted(range(2600), key=lambda i: hashlib.md5(f"topic:{i}".encode()).hexdigest())
+    rows = [(i, "harbour\tsailors" if n % 2 else "harbours of", "en" if n < 2500 else "zz", "x") for n, i in enumerate(ids)]
+    rows += [rows[-1]] * 200
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    topics = mixing.fit_topics(docs)
+    assert set(topics) == {"en", "zz"}
+    assert sorted(w[0] for w in topics["zz"]) == ["harbour", "harbours", "sailors"]
+    got = {r.mix_topic for r in mixing.mix(docs).where("lang = 'zz'").select("mix_topic").collect()}
+    assert got and "other" not in got
+
+
 def test_token_counts_of_long_unspaced_texts(spark, monkeypatch):
     from tracelake.llm import token_count as module
 

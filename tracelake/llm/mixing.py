@@ -14,8 +14,8 @@ is less than one), among the values that occur.  Values that given targets do no
 name keep their present share, and the named ones share the rest.
 
 Topics, where no column is given for them, are groups of words fitted by language
-on ``TOPIC_SAMPLE`` documents (those least by a hash of their id): in each of the
-``LANGUAGES`` commonest languages the seeds are the ``TOPICS`` words that most of
+on all documents (the SQL still counts the ``TOPIC_SAMPLE`` least by a hash of their
+id, so the two agree up to so many): in each of the ``LANGUAGES`` commonest languages the seeds are the ``TOPICS`` words that most of
 its documents hold, but not over half, and a seed has the ``COMPANIONS`` words
 that it stands with most, by the cosine of their occurrences.  A document, read
 as a whole, is of the topic of its language of whose words it holds the most,
@@ -66,22 +66,41 @@ def _digest(prefix: str) -> Column:
     return F.md5(F.concat(F.lit(prefix + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
 
 
-def fit_topics(docs: DataFrame, sample: int = TOPIC_SAMPLE, topics: int = TOPICS, companions: int = COMPANIONS) -> dict[str, list[list[str]]]:
+def _once(docs: DataFrame) -> DataFrame:
+    """(lang, text) of every document with a text; of rows that repeat an id the
+    least, and no other texts than theirs move."""
+    own = docs.select(_digest("topic").alias("mark"), F.coalesce("lang", F.lit("unknown")).alias("lang"), "text").where("text is not null")
+    repeated = materialize(own.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("mark"))
+    n = repeated.count()
+    if not n:
+        return own.select("lang", "text")
+    marks = F.broadcast(repeated) if n <= BROADCAST_CELLS else repeated
+    least = own.join(marks, "mark", "left_semi").groupBy("mark").agg(F.min(F.struct("text", "lang")).alias("one"))
+    return own.join(marks, "mark", "left_anti").select("lang", "text").unionByName(least.select("one.lang", "one.text"))
+
+
+def fit_topics(docs: DataFrame, topics: int = TOPICS, companions: int = COMPANIONS) -> dict[str, list[list[str]]]:
     """By language the words of each topic, its seed first."""
-    own = docs.select("doc_id", F.coalesce("lang", F.lit("unknown")).alias("lang"), "text").where("text is not null").withColumn("mark", _digest("topic"))
-    # Marks alone are sorted; the texts of the least are fetched by them.
-    least = own.select("mark").distinct().orderBy("mark").limit(sample)
-    texts = own.join(F.broadcast(least), "mark").groupBy("mark").agg(F.min(F.struct("text", "lang")).alias("one")).select("mark", "one.*")
-    sizes = texts.groupBy("lang").agg(F.count(F.lit(1)).alias("size")).orderBy(F.col("size").desc(), "lang").limit(LANGUAGES)
-    found = F.filter(F.array_distinct(F.split("text", r"[\x20\x09-\x0D]+")), lambda w: F.rlike(w, F.lit(_CONTENT)))
-    words = materialize(texts.select("mark", "lang", F.explode(found).alias("word")).join(F.broadcast(sizes), "lang"))
-    held = words.groupBy("lang", "size", "word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") * 2 <= F.col("size"))
+    once = _once(docs)
+    sizes = materialize(once.groupBy("lang").agg(F.count(F.lit(1)).alias("size")).orderBy(F.col("size").desc(), "lang").limit(LANGUAGES))
+    once = once.join(F.broadcast(sizes.select("lang")), "lang")
+    tokens, content = F.array_distinct(F.split("text", r"[\x20\x09-\x0D]+")), F.rlike("word", F.lit(_CONTENT))
+    counts = once.select("lang", F.explode(tokens).alias("word")).where(content).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
+    held = materialize(counts.join(F.broadcast(sizes), "lang").where(F.col("n") * 2 <= F.col("size")).select("lang", "word", "n"))
     widest = Window.partitionBy("lang").orderBy(F.col("n").desc(), "word")
     seeds = materialize(held.withColumn("topic", F.row_number().over(widest)).where(F.col("topic") <= topics).select("lang", "topic", F.col("word").alias("seed"), F.col("n").alias("seed_n")))
-    # A few seeds a language, each in documents of the sample only.
-    marked = words.join(F.broadcast(seeds), (words["lang"] == seeds["lang"]) & (F.col("word") == F.col("seed"))).select("mark", "topic", "seed_n")
-    others = words.join(F.broadcast(seeds.select("lang", F.col("seed").alias("word"))), ["lang", "word"], "left_anti")
-    pairs = marked.join(others, "mark").groupBy("lang", "topic", "seed_n", "word").agg(F.count(F.lit(1)).alias("both")).where("both >= 2")
+    # A bit for each seed that a document holds; documents of the same bits are
+    # counted together by word, so no word is paired with another.
+    bits = F.lit(0).cast("long")
+    for r in seeds.collect():
+        bounded = F.rlike("text", F.lit(rf"(?:^|[\x20\x09-\x0D]){r.seed}(?:[\x20\x09-\x0D]|\z)"))
+        holds = F.contains("text", F.lit(f" {r.seed} ")) | (F.contains("text", F.lit(r.seed)) & bounded)
+        bits = bits + F.when((F.col("lang") == r.lang) & holds, 1 << (r.topic - 1)).otherwise(0)
+    # Exploded, for a filter on a plain column would compute it twice.
+    marked = once.select("lang", "text", F.explode(F.array(bits)).alias("bits")).where("bits <> 0").select("lang", "bits", tokens.alias("tokens"))
+    beside = marked.select("lang", "bits", F.explode("tokens").alias("word")).where(content).groupBy("lang", "bits", "word").agg(F.count(F.lit(1)).alias("m"))
+    beside = beside.join(F.broadcast(seeds.select("lang", F.col("seed").alias("word"))), ["lang", "word"], "left_anti")
+    pairs = beside.join(F.broadcast(seeds), "lang").where(F.expr("shiftright(bits, topic - 1) % 2 = 1")).groupBy("lang", "topic", "seed_n", "word").agg(F.sum("m").alias("both")).where("both >= 2")
     scored = pairs.join(held, ["lang", "word"]).withColumn("score", F.col("both") * F.col("both") / (F.col("n") * F.col("seed_n")).cast("double"))
     closest = Window.partitionBy("lang", "topic").orderBy(F.col("score").desc(), "word")
     near = scored.withColumn("rank", F.row_number().over(closest)).where(F.col("rank") <= companions).select("lang", "topic", "rank", "word")
