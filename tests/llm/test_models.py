@@ -169,6 +169,21 @@ def test_ann_recall_with_many_cells_and_blocks(spark, monkeypatch):
     assert recall_of(got, want) >= 0.9
 
 
+def test_ann_lists_the_cells_of_a_query_by_group():
+    import pyarrow as pa
+
+    from tracelake.llm import ann as module
+
+    rng = np.random.default_rng(8)
+    ids, raw = pa.array([5, 3, 9]), pa.array([rng.normal(size=4 + 4 * (i == 1)).tobytes() for i in range(3)], pa.binary())
+    setting = Setting(4, 1.0, 64, 8)
+    one, lists = module._asked(setting)(ids, raw), module._listed(setting, 7)(ids, raw)
+    assert len(lists["group"]) <= 3 * 7 and len(one["key"]) == 3 * 8 * 64
+    got = sorted((i, k) for i, keys in zip(lists["id"], lists["keys"].to_pylist()) for k in keys)
+    assert got == sorted(zip(one["id"], one["key"]))
+    assert all((k >> 32) % 7 == g for g, keys in zip(lists["group"], lists["keys"].to_pylist()) for k in keys)
+
+
 def test_ann_in_one_cell_is_exact(spark):
     rows = clustered(800, 5)
     found = ann(vectors(spark, rows), F.col("vec_id") % 50 == 0, setting=Setting(0, 1.0, 1, 1), group_rows=300).orderBy("query_id", "rank").collect()

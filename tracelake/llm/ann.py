@@ -264,6 +264,23 @@ def _asked(setting: Setting):
     return run
 
 
+def _listed(setting: Setting, groups: int):
+    """(group, id, keys) of the cells a query visits: a row for each group."""
+    asked = _asked(setting)
+
+    def run(vec_id: pa.Array, vector: pa.Array) -> dict:
+        found = asked(vec_id, vector)
+        key, owner = found["key"], found["id"]
+        group = np.mod(key >> 32, groups)
+        order = np.lexsort((owner, group))
+        key, owner, group = key[order], owner[order], group[order]
+        first = np.flatnonzero(np.r_[True, (np.diff(group) != 0) | (np.diff(owner) != 0)][: len(key)])
+        lists = pa.ListArray.from_arrays(pa.array(np.r_[first, len(key)], pa.int32()), pa.array(key, pa.int64()))
+        return {"group": group[first], "id": owner[first], "keys": lists}
+
+    return run
+
+
 def _meet(k: int):
     """Rows of a group that may be among the k nearest of a query, with bounds."""
 
@@ -368,7 +385,10 @@ def ann(
     asked = map_arrow(classes.select("vec_id", "vector"), _asked(setting), "key long, id long")
     # Cells over the bounds, and into how many blocks their two sides are cut.
     full = index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CELL_ROWS)
+    # No cell is visited by more queries than there are.
     busy = asked.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > CELL_QUERIES)
+    if n_asked <= CELL_QUERIES:
+        busy = spark.createDataFrame([], "key long, m long")
     large = materialize(
         full.join(busy, "key", "full_outer").select(
             "key",
@@ -377,23 +397,28 @@ def ann(
         )
     )
 
-    def dealt(side: DataFrame, own: str, other: str) -> DataFrame:
-        cut = side.join(large, "key", "left").select(
-            *side.columns, F.pmod(F.xxhash64("id"), F.coalesce(f"{own}_blocks", F.lit(1))).cast("int").alias(f"{own}_block"),
+    def dealt(side: DataFrame, own: str, other: str, how: str) -> DataFrame:
+        cut = side.join(large, "key", how).select(
+            *side.columns, F.col("row_blocks").isNotNull().alias("is_large"), F.pmod(F.xxhash64("id"), F.coalesce(f"{own}_blocks", F.lit(1))).cast("int").alias(f"{own}_block"),
             F.explode(F.sequence(F.lit(0), F.coalesce(f"{other}_blocks", F.lit(1)) - 1)).alias(f"{other}_block"),
         )
-        # A cell and its blocks keep apart under a key of their own.
-        apart = F.when((F.col("row_block") == 0) & (F.col("query_block") == 0), F.col("key")).otherwise(F.xxhash64("key", "row_block", "query_block"))
-        return cut.withColumn("key", apart).withColumn("group", F.pmod(F.xxhash64("key"), F.lit(groups)))
+        # The blocks of a cell keep apart under keys of their own, so the cell's
+        # own key, which the lists of its queries still hold, meets no rows.
+        apart = F.when(F.col("is_large"), F.xxhash64("key", "row_block", "query_block")).otherwise(F.col("key"))
+        return cut.withColumn("key", apart).withColumn("group", F.pmod(F.shiftright("key", 32), F.lit(groups).cast("long")))
 
     def codes(vec_id: pa.Array, vector: pa.Array) -> dict:
         parts = [encode(matrix([v])) for v in vector.to_pylist()]
         return {"id": vec_id, "code": [c[0].tobytes() for c, _, _ in parts], "unit": [float(u[0]) for _, u, _ in parts], "error": [float(e[0]) for _, _, e in parts]}
 
-    lists = dealt(asked, "query", "row").groupBy("group", "id").agg(F.collect_list("key").alias("keys"))
+    # Lists come whole from each query; visits are rows only where cells are cut.
+    lists = map_arrow(classes.select("vec_id", "vector"), _listed(setting, groups), "group long, id long, keys array<long>")
+    if large.count():
+        blocks_met = dealt(asked, "query", "row", "inner").groupBy("group", "id").agg(F.collect_list("key").alias("keys"))
+        lists = lists.unionByName(blocks_met)
     coded = map_arrow(classes.select("vec_id", "vector"), codes, "id long, code binary, unit double, error double")
     met = (
-        dealt(index, "row", "query").select("group", "key", "id", "code", "unit", "error").groupBy("group")
+        dealt(index, "row", "query", "left").select("group", "key", "id", "code", "unit", "error").groupBy("group")
         .cogroup(lists.join(coded, "id").select("group", "id", "keys", "code", "unit", "error").groupBy("group"))
         .applyInPandas(_meet(k + 1), "q long, vec_id long, low double, high double")
     )
