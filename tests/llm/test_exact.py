@@ -283,6 +283,29 @@ def test_topics_are_fitted_on_all_documents(spark):
     assert got and "other" not in got
 
 
+def test_companions_rarer_than_the_first_share_are_found(spark, monkeypatch):
+    words = ["harbour", "sailors", "anchors", "kitchen", "recipes", "orchard", "picking", "gardens", "weather", "lantern"]
+    rnd = random.Random(5)
+    rows = [(i, " \n\t".join(w for k, w in enumerate(words) if rnd.random() < 0.45 / (1 + k / 2)) + " of\u2028 meadows\u2028") for i in range(400)]
+    rows += [(500 + i, "harbour onlyonce \x0b onlytwo") for i in range(2)]
+    docs = documents(spark, rows)
+    split = {i: set(t.encode().split()) for i, t in rows}
+    held = {w: {i for i, t in split.items() if w.encode() in t} for w in [*words, "onlyonce", "onlytwo"]}
+    held = {w: d for w, d in held.items() if len(w) >= 6 and len(d) * 2 <= len(rows)}
+    seeds = sorted(held, key=lambda w: (-len(held[w]), w))[:2]
+    both = lambda s, w: len(held[s] & held[w])
+    wanted = []
+    for s in seeds:
+        near = [w for w in held if w not in seeds and both(s, w) >= 2]
+        wanted.append([s, *sorted(near, key=lambda w: (-(both(s, w) ** 2) / (len(held[w]) * len(held[s])), w))[:4]])
+    for share in (2, 10, 1000):
+        monkeypatch.setattr(mixing, "SHARE", share)
+        assert mixing.fit_topics(docs, topics=2) == {"en": wanted}, share
+    odd = [(1, " a  b\tc\r\n"), (2, "a b\u00a0c d"), (3, ""), (4, None), (5, "\x0b"), (6, "é ü\nñ"), (7, "one")]
+    got = {r.doc_id: r.mix_tokens for r in mixing.measured(documents(spark, odd)).collect()}
+    assert got == {i: len((t or "").encode().split()) for i, t in odd}
+
+
 def test_token_counts_of_long_unspaced_texts(spark, monkeypatch):
     from tracelake.llm import token_count as module
 

@@ -60,6 +60,11 @@ BROADCAST_CELLS = 50_000
 ADDED = ("mix_topic", "mix_tokens", "mix_weight", "mix_probability", "mix_selected")
 _WORD = r"[^\x20\x09-\x0D]+"
 _CONTENT = r"^\p{L}{6,24}$"
+#: In Java a dollar sign also matches before a line separator.
+_CONTENT_WHOLE = r"^\p{L}{6,24}\z"
+_BYTES = (6, 96)
+#: Companions are first looked for in one document of so many.
+SHARE = 256
 
 
 def _digest(prefix: str) -> Column:
@@ -69,8 +74,10 @@ def _digest(prefix: str) -> Column:
 def _once(docs: DataFrame) -> DataFrame:
     """(lang, text) of every document with a text; of rows that repeat an id the
     least, and no other texts than theirs move."""
-    own = docs.select(_digest("topic").alias("mark"), F.coalesce("lang", F.lit("unknown")).alias("lang"), "text").where("text is not null")
+    own = docs.select(_digest("topic").alias("mark"), F.coalesce("lang", F.lit("unknown")).alias("lang"), "text")
+    # Counted without the texts, which need not be read for it.
     repeated = materialize(own.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("mark"))
+    own = own.where("text is not null")
     n = repeated.count()
     if not n:
         return own.select("lang", "text")
@@ -79,36 +86,77 @@ def _once(docs: DataFrame) -> DataFrame:
     return own.join(marks, "mark", "left_anti").select("lang", "text").unionByName(least.select("one.lang", "one.text"))
 
 
+def _spaced(text: Column) -> Column:
+    """``text`` with spaces for its other white space, byte for byte."""
+    out, rare = text, [F.lit(c) for c in "\t\v\f\r"]
+    for c in rare:
+        out = F.replace(out, c, F.lit(" "))
+    has = [F.contains(text, c) for c in rare]
+    return F.replace(F.when(has[0] | has[1] | has[2] | has[3], out).otherwise(text), F.lit("\n"), F.lit(" "))
+
+
+def _by_language(values: dict[str, int]) -> Column:
+    chosen = F.lit(None).cast("long")
+    for lang, value in values.items():
+        chosen = F.when(F.col("lang") == lang, F.lit(value)).otherwise(chosen)
+    return chosen
+
+
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_CELLS else df
+
+
 def fit_topics(docs: DataFrame, topics: int = TOPICS, companions: int = COMPANIONS) -> dict[str, list[list[str]]]:
-    """By language the words of each topic, its seed first."""
-    once = _once(docs)
-    sizes = materialize(once.groupBy("lang").agg(F.count(F.lit(1)).alias("size")).orderBy(F.col("size").desc(), "lang").limit(LANGUAGES))
-    once = once.join(F.broadcast(sizes.select("lang")), "lang")
-    tokens, content = F.array_distinct(F.split("text", r"[\x20\x09-\x0D]+")), F.rlike("word", F.lit(_CONTENT))
-    counts = once.select("lang", F.explode(tokens).alias("word")).where(content).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
-    held = materialize(counts.join(F.broadcast(sizes), "lang").where(F.col("n") * 2 <= F.col("size")).select("lang", "word", "n"))
+    """By language the words of each topic, its seed first.
+
+    Texts are split once.  Companions are looked for among the words that a share
+    of the language's documents hold.  As a word in n documents scores n / seed_n
+    at most, the companions found tell how many documents another would need;
+    where the share was more than that, it is lowered to it and the search repeated.
+    """
+    words = F.filter(F.split(_spaced(F.col("text")), " "), lambda w: F.octet_length(w).between(*_BYTES))
+    # The empty word stands for the document.
+    read = materialize(_once(docs).select("lang", F.array_distinct(F.concat(F.array(F.lit("")), words)).alias("words")))
+    content = (F.col("word") == "") | F.rlike("word", F.lit(_CONTENT_WHOLE))
+    counts = materialize(read.select("lang", F.explode("words").alias("word")).where(content).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")))
+    sizes = materialize(counts.where("word = ''").select("lang", F.col("n").alias("size")).orderBy(F.col("size").desc(), "lang").limit(LANGUAGES))
+    held = counts.where("word <> ''").join(F.broadcast(sizes), "lang").where(F.col("n") * 2 <= F.col("size")).select("lang", "word", "n")
     widest = Window.partitionBy("lang").orderBy(F.col("n").desc(), "word")
     seeds = materialize(held.withColumn("topic", F.row_number().over(widest)).where(F.col("topic") <= topics).select("lang", "topic", F.col("word").alias("seed"), F.col("n").alias("seed_n")))
+    others = held.join(F.broadcast(seeds.select("lang", F.col("seed").alias("word"))), ["lang", "word"], "left_anti")
+    least = {r.lang: r.size // SHARE for r in sizes.collect()}
+    while True:
+        out, need = _companions(read, seeds, others.where(F.col("n") >= _by_language(least)), companions)
+        if all(need.get(lang, n) >= n for lang, n in least.items()):
+            return out
+        least = {lang: min(n, need.get(lang, n)) for lang, n in least.items()}
+
+
+def _companions(read: DataFrame, seeds: DataFrame, others: DataFrame, companions: int) -> tuple[dict[str, list[list[str]]], dict[str, int]]:
+    """The topics with companions among ``others``, and by language in how many
+    documents another word must be to change them."""
+    others = materialize(others)
     # A bit for each seed that a document holds; documents of the same bits are
     # counted together by word, so no word is paired with another.
-    bits = F.lit(0).cast("long")
-    for r in seeds.collect():
-        bounded = F.rlike("text", F.lit(rf"(?:^|[\x20\x09-\x0D]){r.seed}(?:[\x20\x09-\x0D]|\z)"))
-        holds = F.contains("text", F.lit(f" {r.seed} ")) | (F.contains("text", F.lit(r.seed)) & bounded)
-        bits = bits + F.when((F.col("lang") == r.lang) & holds, 1 << (r.topic - 1)).otherwise(0)
+    bits, first = F.lit(0).cast("long"), seeds.collect()
+    for r in first:
+        bits = bits + F.when((F.col("lang") == r.lang) & F.array_contains("words", r.seed), 1 << (r.topic - 1)).otherwise(0)
     # Exploded, for a filter on a plain column would compute it twice.
-    marked = once.select("lang", "text", F.explode(F.array(bits)).alias("bits")).where("bits <> 0").select("lang", "bits", tokens.alias("tokens"))
-    beside = marked.select("lang", "bits", F.explode("tokens").alias("word")).where(content).groupBy("lang", "bits", "word").agg(F.count(F.lit(1)).alias("m"))
-    beside = beside.join(F.broadcast(seeds.select("lang", F.col("seed").alias("word"))), ["lang", "word"], "left_anti")
+    marked = read.select("lang", "words", F.explode(F.array(bits)).alias("bits")).where("bits <> 0")
+    beside = marked.select("lang", "bits", F.explode("words").alias("word")).join(_small(others.select("lang", "word")), ["lang", "word"], "left_semi")
+    beside = beside.groupBy("lang", "bits", "word").agg(F.count(F.lit(1)).alias("m"))
     pairs = beside.join(F.broadcast(seeds), "lang").where(F.expr("shiftright(bits, topic - 1) % 2 = 1")).groupBy("lang", "topic", "seed_n", "word").agg(F.sum("m").alias("both")).where("both >= 2")
-    scored = pairs.join(held, ["lang", "word"]).withColumn("score", F.col("both") * F.col("both") / (F.col("n") * F.col("seed_n")).cast("double"))
+    scored = pairs.join(others, ["lang", "word"]).withColumn("score", F.col("both") * F.col("both") / (F.col("n") * F.col("seed_n")).cast("double"))
     closest = Window.partitionBy("lang", "topic").orderBy(F.col("score").desc(), "word")
-    near = scored.withColumn("rank", F.row_number().over(closest)).where(F.col("rank") <= companions).select("lang", "topic", "rank", "word")
-    members = seeds.select("lang", "topic", F.lit(0).alias("rank"), F.col("seed").alias("word")).unionByName(near)
-    out: dict[str, dict[int, list[str]]] = {}
-    for r in members.orderBy("lang", "topic", "rank").collect():
-        out.setdefault(r.lang, {}).setdefault(r.topic, []).append(r.word)
-    return {lang: [groups[t] for t in sorted(groups)] for lang, groups in out.items()}
+    near = scored.withColumn("rank", F.row_number().over(closest)).where(F.col("rank") <= companions).select("lang", "topic", "rank", "word", "score").collect()
+    out, need = {}, {}
+    for lang in sorted({r.lang for r in first}):
+        own = sorted((r for r in first if r.lang == lang), key=lambda r: r.topic)
+        beside_seed = [sorted((c for c in near if (c.lang, c.topic) == (lang, r.topic)), key=lambda c: c.rank) for r in own]
+        out[lang] = [[r.seed, *(c.word for c in found)] for r, found in zip(own, beside_seed)]
+        # Rounded down, as the score is a rounded quotient.
+        need[lang] = min(int(found[-1].score * r.seed_n * (1 - 1e-9)) if len(found) == companions else 0 for r, found in zip(own, beside_seed))
+    return out, need
 
 
 def topic_of(text: Column, lang: Column, topics: dict[str, list[list[str]]]) -> Column:
@@ -120,8 +168,9 @@ def topic_of(text: Column, lang: Column, topics: dict[str, list[list[str]]]) ->
         # The count in the high digits, the place from the end in the low ones.
         n = len(groups)
         best = F.greatest(*(c * n + (n - 1 - i) for i, c in enumerate(counts)), F.lit(0))
-        topic = F.when(best < n, OTHER).otherwise(F.concat(F.lit("topic-"), (n - best % n).cast("string")))
-        named = F.when(lang == own, topic).otherwise(named)
+        # Looked up, so that the texts are searched once.
+        names = [OTHER if b < n else f"topic-{n - b % n}" for b in range(n * (max(map(len, groups)) + 1))]
+        named = F.when(lang == own, F.element_at(F.array(*map(F.lit, names)), best + 1)).otherwise(named)
     return named
 
 
@@ -170,7 +219,13 @@ def measured(docs: DataFrame, topic: Column | None = None) -> DataFrame:
     """``docs`` with mix_topic and mix_tokens, from the whole texts."""
     docs = docs.drop(*ADDED)
     named = topic_of(F.col("text"), F.col("lang"), fit_topics(docs)) if topic is None else F.coalesce(topic, F.lit("unknown"))
-    return docs.withColumns({"mix_topic": named, "mix_tokens": F.regexp_count(F.coalesce("text", F.lit("")), F.lit(_WORD)).cast("long")})
+    (own,) = fresh("mix_spaced", 1, docs.columns)
+    spaced, space = F.col(own), F.lit(" ")
+    # Where single spaces part the words, their bytes tell the number.
+    ragged = (spaced == "") | F.startswith(spaced, space) | F.endswith(spaced, space) | F.contains(spaced, F.lit("  "))
+    single = F.octet_length(spaced) - F.octet_length(F.replace(spaced, space, F.lit(""))) + 1
+    tokens = F.when(ragged, F.regexp_count(spaced, F.lit(_WORD))).otherwise(single).cast("long")
+    return docs.withColumn(own, _spaced(F.coalesce("text", F.lit("")))).withColumns({"mix_topic": named, "mix_tokens": tokens}).drop(own)
 
 
 def sampled(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, rounds: int = ROUNDS, budget: float = BUDGET) -> DataFrame:
