@@ -306,6 +306,27 @@ def test_companions_rarer_than_the_first_share_are_found(spark, monkeypatch):
     assert got == {i: len((t or "").encode().split()) for i, t in odd}
 
 
+def test_seeds_of_texts_hashed_together_are_those_of_each_alone(monkeypatch):
+    import pandas as pd
+
+    from tracelake.llm import substring_dedup as module
+
+    rnd = random.Random(11)
+    passage = " ".join(f"p{i}" for i in range(60))
+    sizes = [0, 1, 34, 35, 36, 70, 300, 35, 2000, 90]
+    texts = [" ".join(rnd.choices("abcdefgh", k=n)) + rnd.choice(["", f" {passage}", f" {passage} x {passage}"]) for n in sizes * 6]
+    pdf = pd.DataFrame({"text": [*texts, texts[8], "a " * 500], "k1": range(62), "k2": [(-1) ** i * (i << 50) for i in range(62)]})
+    found = {}
+    for size in (1, 1 << 8, 1 << 15):
+        monkeypatch.setattr(module, "WORDS", size)
+        found[size] = pd.concat(module._seeds(35, 8)(iter([pdf[:30].reset_index(drop=True), pdf[30:].reset_index(drop=True)])), ignore_index=True)
+    pd.testing.assert_frame_equal(found[1], found[1 << 15])
+    pd.testing.assert_frame_equal(found[1], found[1 << 8])
+    for k1, own in found[1].groupby("k1"):
+        windows = len(pdf["text"][k1].split()) - 34
+        assert own["lo"].tolist() == [0, *(own["hi"][:-1] + 1)] and own["hi"].iloc[-1] == windows - 1 and own["copies"].sum() == len(own)
+
+
 def test_token_counts_of_long_unspaced_texts(spark, monkeypatch):
     from tracelake.llm import token_count as module
 

@@ -23,7 +23,8 @@ other columns are neither read nor returned.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -36,20 +37,12 @@ from tracelake.llm.common import bounded_batches, map_arrow, materialize
 
 WINDOW = 35
 SEED_WORDS = 8
+#: Words that are hashed together, which bounds the arrays; a longer text goes alone.
+WORDS = 1 << 15
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
-class _Hashes(dict):
-    """Word to 64-bit hash; forgets everything when it has grown large."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1 << 19:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word, 1)
-        return value
-
-
 class _Powers:
     def __init__(self) -> None:
         self.up = self.down = np.ones(1, np.uint64)
@@ -67,9 +60,9 @@ class _Powers:
 class _Rolling:
     """Hashes of any run of words of one document, independent of its place."""
 
-    def __init__(self, words: list[bytes], hashes: _Hashes, powers: _Powers) -> None:
+    def __init__(self, words: list[bytes], powers: _Powers) -> None:
         n = len(words)
-        values = np.fromiter(map(hashes.__getitem__, words), np.uint64, n)
+        values = np.fromiter(map(xxhash.xxh64_intdigest, words, repeat(1)), np.uint64, n)
         self.up, down = powers.upto(n)
         self.sums = np.zeros(n + 1, np.uint64)
         np.cumsum(values * down[:n], out=self.sums[1:])
@@ -84,38 +77,74 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+def _together(texts: Iterable[str], window: int) -> Iterator[tuple[list[int], list[list[bytes]]]]:
+    """Places and words of the texts with a window, some ``WORDS`` words at a time."""
+    places, found, n = [], [], 0
+    for place, text in enumerate(texts):
+        words = text.encode().split()
+        if len(words) >= window:
+            places.append(place)
+            found.append(words)
+            n += len(words)
+            if n >= WORDS:
+                yield places, found
+                places, found, n = [], [], 0
+    if found:
+        yield places, found
+
+
+def _first_least(values: np.ndarray, width: int) -> np.ndarray:
+    """Where the least of each ``width`` values in a row is, the first of equals."""
+    least, at, have = values, np.arange(len(values), dtype=np.int32), 1
+    while have < width:
+        step = min(have, width - have)
+        later = least[step:] < least[:-step]
+        at = np.where(later, at[step:], at[:-step])
+        least, have = np.minimum(least[step:], least[:-step]), have + step
+    return at
+
+
 def _seeds(window: int, k: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, powers = _Hashes(), _Powers()
+        powers = _Powers()
         width = window - k + 1
         for pdf in batches:
-            out = []
-            for text, k1, k2 in zip(pdf["text"], pdf["k1"], pdf["k2"]):
-                words = text.encode().split()
-                n = len(words)
-                if n < window:
-                    continue
-                roll = _Rolling(words, hashes, powers)
-                at = np.arange(n - k + 1)
+            all_k1, all_k2, out = pdf["k1"].to_numpy(), pdf["k2"].to_numpy(), []
+            for places, found in _together(pdf["text"], window):
+                # All texts are hashed in one row of words; the windows that
+                # cross from one to the next are left out.
+                size = np.fromiter(map(len, found), np.int64, len(found))
+                begin = np.cumsum(size) - size
+                roll = _Rolling(list(chain.from_iterable(found)), powers)
+                at = np.arange(size.sum() - k + 1)
                 grams = roll.of(at, at + k)
-                chosen = np.lib.stride_tricks.sliding_window_view(grams, width).argmin(axis=1)
-                chosen += np.arange(len(chosen))
-                ends = np.flatnonzero(np.append(chosen[1:] != chosen[:-1], True))
-                lo, hi = np.append(0, ends[:-1] + 1), ends
-                seed = chosen[ends]
+                chosen = _first_least(grams, width)
+                last = np.zeros(len(chosen), bool)
+                last[:-1] = chosen[1:] != chosen[:-1]
+                own = np.ones(len(chosen), bool)
+                for b in begin[1:]:
+                    own[b - window + 1 : b] = False
+                last[begin + size - window] = True
+                ends = np.flatnonzero(last & own)
+                doc = np.searchsorted(begin, ends, "right") - 1
+                lo, hi, seed = np.empty_like(ends), ends, chosen[ends].astype(np.int64)
+                lo[0], lo[1:] = 0, ends[:-1] + 1
+                starts = np.append(True, doc[1:] != doc[:-1])
+                lo[starts] = begin[doc[starts]]
                 # The seed's place in the span is part of the span's identity.
                 span = roll.of(lo, hi + window) + (seed - lo).astype(np.uint64)
                 keys = grams[seed]
-                copies = np.ones(len(ends), np.int64)
-                _, first, times = np.unique(_mix(keys) ^ span, return_index=True, return_counts=True)
-                if len(first) < len(ends):
-                    # Repeated within the document: the first place stands for
-                    # all of them, the others are settled and meet nothing.
-                    copies[:] = 0
-                    copies[first] = times
-                    settled = copies == 0
-                    keys[settled] = _mix(span[settled] + lo[settled].astype(np.uint64) + np.uint64(k2 & (2**64 - 1)))
-                out.append((np.full(len(ends), k1), np.full(len(ends), k2), keys.view(np.int64), span.view(np.int64), lo, hi, copies))
+                # Repeated within the document: the first place stands for
+                # all of them, the others are settled and meet nothing.
+                same = _mix(keys) ^ span
+                order = np.lexsort((same, doc))
+                new = np.append(True, (same[order][1:] != same[order][:-1]) | (doc[order][1:] != doc[order][:-1]))
+                copies = np.zeros(len(ends), np.int64)
+                copies[order[new]] = np.diff(np.append(np.flatnonzero(new), len(ends)))
+                lo, hi, place = lo - begin[doc], hi - begin[doc], np.asarray(places)[doc]
+                k1, k2, settled = all_k1[place], all_k2[place], copies == 0
+                keys[settled] = _mix(span[settled] + lo[settled].astype(np.uint64) + k2[settled].view(np.uint64))
+                out.append((k1, k2, keys.view(np.int64), span.view(np.int64), lo, hi, copies))
             if out:
                 yield pd.DataFrame(dict(zip(("k1", "k2", "seed", "span", "lo", "hi", "copies"), map(np.concatenate, zip(*out)))))
 
@@ -124,11 +153,11 @@ def _seeds(window: int, k: int):
 
 def _windows(window: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, powers = _Hashes(), _Powers()
+        powers = _Powers()
         for pdf in batches:
             out = []
             for text, k1, k2, spans in zip(pdf["text"], pdf["k1"], pdf["k2"], pdf["spans"]):
-                roll = _Rolling(text.encode().split(), hashes, powers)
+                roll = _Rolling(text.encode().split(), powers)
                 for s in spans:
                     at = np.arange(s["lo"], s["hi"] + 1)
                     one = np.ones(len(at), np.int64)
